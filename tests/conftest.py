@@ -16,5 +16,8 @@ def spark(tmp_path_factory):
         .config("spark.checkpoint.dir", f"file://{tmp_path_factory.mktemp('shared')}").getOrCreate()
     )
     session.sparkContext.setLogLevel("ERROR")
+    from trackfit.session import ready
+
+    ready(session)
     yield session
     session.stop()
