@@ -6,13 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from trackfit.llm import chat, exact_dedup
+from trackfit.llm import chat, exact_dedup, packing, token_counts
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_chat_format": chat.query,
         "op4_exact_dedup": exact_dedup.query,
+        "op5_packing": packing.query,
+        "op7_token_counts": token_counts.query,
     }
 
 
