@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from trackfit.llm import chat, exact_dedup, packing, token_counts
+from trackfit.llm import chat, exact_dedup, language, packing, token_counts, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,6 +15,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_exact_dedup": exact_dedup.query,
         "op5_packing": packing.query,
         "op7_token_counts": token_counts.query,
+        "op8_toxicity": toxicity.query,
+        "op9_language_id": language.query,
     }
 
 
