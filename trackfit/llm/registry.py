@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from trackfit.llm import chat, exact_dedup, language, packing, token_counts, toxicity
+from trackfit.llm import chat, exact_dedup, language, packing, quality, token_counts, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_chat_format": chat.query,
+        "op3_quality_rules": quality.query,
         "op4_exact_dedup": exact_dedup.query,
         "op5_packing": packing.query,
         "op7_token_counts": token_counts.query,
