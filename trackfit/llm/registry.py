@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from trackfit.llm import chat, exact_dedup, language, packing, quality, token_counts, toxicity
+from trackfit.llm import chat, exact_dedup, language, packing, quality, sentencepieces, token_counts, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,6 +15,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_quality_rules": quality.query,
         "op4_exact_dedup": exact_dedup.query,
         "op5_packing": packing.query,
+        "op6_sentencepieces": sentencepieces.query,
         "op7_token_counts": token_counts.query,
         "op8_toxicity": toxicity.query,
         "op9_language_id": language.query,
