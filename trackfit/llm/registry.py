@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from trackfit.llm import chat, exact_dedup, language, packing, quality, sentencepieces, token_counts, toxicity
+from trackfit.llm import chat, exact_dedup, language, packing, quality, sentencepieces, simhash, token_counts, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_simhash_dedup": simhash.query,
         "op2_chat_format": chat.query,
         "op3_quality_rules": quality.query,
         "op4_exact_dedup": exact_dedup.query,
