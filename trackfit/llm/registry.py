@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from trackfit.llm import chat, exact_dedup, language, packing, quality, sentencepieces, simhash, token_counts, toxicity
+from trackfit.llm import chat, exact_dedup, language, packing, quality, sentencepieces, simhash, suffix_dedup, token_counts, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -20,6 +20,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_token_counts": token_counts.query,
         "op8_toxicity": toxicity.query,
         "op9_language_id": language.query,
+        "op10_suffix_dedup": suffix_dedup.query,
     }
 
 
