@@ -56,6 +56,11 @@ def bounded(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.count() <= rows else df
 
 
+def wrapped(docs: DataFrame) -> DataFrame:
+    """(RID, row): whole rows as one column, so that no name of theirs can clash with a name added here."""
+    return docs.select(F.monotonically_increasing_id().alias(RID), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+
+
 def without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
-    """Rows of ``docs`` (with RID) whose key is not in the stored table ``dropped``."""
-    return docs.join(bounded(dropped.select(RID)), RID, "left_anti")
+    """Rows of ``docs`` whose row key is not in the stored table ``dropped``."""
+    return wrapped(docs).join(bounded(dropped.select(RID)), RID, "left_anti").select("row.*")

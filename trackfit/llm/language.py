@@ -147,8 +147,10 @@ def classify(texts: list[str], prototypes: np.ndarray) -> tuple[np.ndarray, np.n
 
 
 def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], text_col: str = "text", pred_col: str = "lang_pred", score_col: str = "lang_score") -> DataFrame:
-    """``docs`` with the predicted language and its score (0 to 1). A null text, or one without a letter, is ``und`` with score 0;
-    so is every text where no language could be learned. All columns stay; whole texts are read."""
+    """``docs`` with the predicted language and its score (0 to 1). A null text, or one without a letter, is ``und``
+    with score 0; so is every text where no language could be learned. All columns stay, but for one that has a new column's name: it
+    is replaced. Whole texts are read."""
+    docs = docs.drop(pred_col, score_col)
     langs, prototypes = model
     place = docs.columns.index(text_col)
 
@@ -163,9 +165,6 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], text_col: str
                 part = batch.slice(start, len(texts))
                 yield pa.RecordBatch.from_arrays([*part.columns, names, pa.array(score, pa.float64())], [*part.schema.names, pred_col, score_col])
 
-    for name in (pred_col, score_col):
-        if name in docs.columns:
-            raise ValueError(f"docs already has a column {name}; name the new one otherwise")
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(pred_col, T.StringType()), T.StructField(score_col, T.DoubleType())]))
 
 

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+import corpus_pipeline
 from trackfit.llm import chat, exact_dedup, language, packing, quality, sentencepieces, simhash, suffix_dedup, token_counts, toxicity
 
 
@@ -21,6 +22,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_toxicity": toxicity.query,
         "op9_language_id": language.query,
         "op10_suffix_dedup": suffix_dedup.query,
+        "pipeline": corpus_pipeline.run,
     }
 
 
@@ -28,4 +30,4 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op2_chat_format": chat.ORACLE,
         "op4_exact_dedup": exact_dedup.ORACLE,
-    }
+    } | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})

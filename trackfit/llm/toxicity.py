@@ -251,7 +251,9 @@ def training_rows(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", score_col: str = "toxic_score") -> DataFrame:
-    """``docs`` with a score from 0 to 1. Null and empty texts are scored as a text without words. All columns stay."""
+    """``docs`` with a score from 0 to 1. Null and empty texts are scored as a text without words. All columns
+    stay, but one named like the score is replaced."""
+    docs = docs.drop(score_col)
     place = docs.columns.index(text_col)
     sent = docs.sparkSession.sparkContext.broadcast(model)  # a fixed size: its tables
 
@@ -261,8 +263,6 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", score_col: str
             scores = [m.score(t.as_py() or "") for t in batch.column(place)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], [*batch.schema.names, score_col])
 
-    if score_col in docs.columns:
-        raise ValueError(f"docs already has a column {score_col}; name the new one otherwise")
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(score_col, T.DoubleType())]))
 
 
