@@ -25,7 +25,7 @@ def meta_groups(encodings: DataFrame) -> DataFrame:
     value = F.struct("ints", F.coalesce("reals", F.expr("cast(array() as array<double>)")).alias("reals"))
     stats = e.groupBy(*KEYS).agg(
         F.count(F.lit(1)).alias("n"), F.min(value).alias("low"), F.max(value).alias("high"), F.max("cost").alias("single_cost"),
-        F.min(F.expr("ints[1]")).alias("low_step"), F.max(F.expr("ints[1]")).alias("high_step"),
+        F.min(F.expr("get(ints, 1)")).alias("low_step"), F.max(F.expr("get(ints, 1)")).alias("high_step"),
     ).filter(F.col("n") >= LEAST)
     n = F.col("n")
     same = F.col("low") == F.col("high")
