@@ -39,12 +39,7 @@ def long_form(arrays: DataFrame) -> DataFrame:
 
 def fit(signal: DataFrame, s: int | None = None) -> DataFrame:
     """Encodings (blob, s, track, pattern, ints, reals, cost) of a long-form signal, at the best track length or the one given."""
-    tracks = layout.tracks_of_blocks(layout.blocks(signal), [s] if s else layout.CANDIDATES)
-    encodings = cascade.classify(tracks)
-    if s:
-        return encodings
-    best = search.best_geometry(search.sizes(encodings)).select("blob", "s")
-    return encodings.join(best, ["blob", "s"], "left_semi")
+    return cascade.classify(layout.tracks_of_blocks(layout.blocks(signal), [s])) if s else search.encode_best(signal)
 
 
 def restore(encodings: DataFrame, lengths: DataFrame) -> DataFrame:

@@ -200,9 +200,7 @@ _register("analyze_histogram_256", lambda s, d: report.pattern_histogram(cascade
 
 
 def _breakdown(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = _encodings(spark, sf_dir)
-    best = search.best_geometry(search.sizes(e)).select("blob", "s")
-    return report.pattern_histogram(e.join(best, ["blob", "s"], "left_semi"), "blob")
+    return report.pattern_histogram(search.encode_best(_signals(spark, sf_dir)), "blob")
 
 
 _register("pattern_breakdown", _breakdown, f"{_GEOMETRY}, {oracles.META}, {oracles.SIZES}, best AS (SELECT blob, arg_min(s, est_size * 1000 + s) AS s FROM sizes GROUP BY blob) SELECT e.blob, pattern, count(*) AS n_tracks, CAST(sum(cost) AS BIGINT) AS payload FROM enc e JOIN best b ON e.blob = b.blob AND e.s = b.s GROUP BY e.blob, pattern")

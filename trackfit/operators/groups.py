@@ -1,7 +1,7 @@
 """Cross-track groups: tracks of one pattern whose parameters follow a common rule are stored once.
 
-A pattern of a signal is one group or none. Sums, minima and maxima decide most; only groups that could be an arithmetic
-sequence of byte values (256 tracks at most) are looked at in order, so no group of unbounded size is gathered.
+A pattern of a signal is one group or none. Counts, minima and maxima decide; only parameters that could be an arithmetic
+sequence of byte values are looked at in order, so no group of unbounded size is gathered.
 """
 
 from __future__ import annotations
@@ -15,36 +15,48 @@ SAME_KINDS = ("REPEAT", "LINEAR_WIDE", "LINEAR_F64")
 KEYS = ["blob", "s", "pattern"]
 
 
+def pattern_stats(encodings: DataFrame) -> DataFrame:
+    """(blob, s, pattern, n, payload, kind, params, meta_size): each pattern of a signal, and the group it forms (kind null: none).
+
+    One pass over the encodings. They are counted by parameters first, which combines before the shuffle; bytes have at
+    most 256 CONST and 65,536 LINEAR parameters, so only those counts are gathered to be put in order.
+    """
+    grouped = F.col("pattern").isin("CONST", "LINEAR", *SAME_KINDS)
+    none = F.expr("cast(array() as array<double>)")
+    kinds = encodings.groupBy(
+        *KEYS, F.when(grouped, F.col("ints")).alias("ints"), F.when(grouped, F.coalesce("reals", none)).alias("reals")
+    ).agg(F.count(F.lit(1)).alias("n"), F.sum("cost").alias("payload"), F.max("cost").alias("single"), F.min("track").alias("track"))
+    value = F.struct("ints", "reals")
+    ordered = F.when(F.col("pattern").isin("CONST", "LINEAR"), F.struct("track", F.expr("ints[0]").alias("x"), F.expr("get(ints, 1)").alias("step")))
+    stats = kinds.groupBy(*KEYS).agg(
+        F.sum("n").alias("n"), F.sum("payload").cast("long").alias("payload"), F.max("single").alias("single"), F.min(value).alias("low"), F.max(value).alias("high"),
+        F.max("n").alias("most"), F.sort_array(F.collect_list(ordered)).alias("g"),
+    )
+    n, const, linear = F.col("n"), F.col("pattern") == "CONST", F.col("pattern") == "LINEAR"
+    grouped = F.col("pattern").isin("CONST", "LINEAR", *SAME_KINDS)
+    worth = F.when(const, 4 * n > 7 + 2 * n).when(linear, 10 + 2 * n < 7 * n).otherwise(6 + 2 * n + F.col("single") < n * (3 + F.col("single")))
+    all_same = grouped & (n >= LEAST) & (F.col("low") == F.col("high")) & worth
+    # Starts are bytes and differ in a sequence: each parameter once, 256 tracks at most.
+    even = F.expr("forall(sequence(1, size(g) - 1), k -> g[k].x - g[k - 1].x = g[1].x - g[0].x and g[k].step <=> g[0].step)")
+    step = F.expr("g[1].x - g[0].x")
+    fits = F.when(const, step.between(-128, 127) & (8 + 2 * n < 4 * n)).otherwise(12 + 2 * n < 7 * n)
+    in_order = (const | linear) & (n >= LEAST) & (n <= MOST_IN_SEQUENCE) & (F.col("most") == 1) & (F.col("low") != F.col("high"))
+    in_order = F.when(in_order, even & fits).otherwise(False)
+    kind = F.when(all_same, "AllSame").when(in_order, F.when(const, "ConstLinear").otherwise("LinearStartsLinear"))
+    stats = stats.withColumn("kind", kind)
+    is_ = lambda k: F.col("kind") == k
+    params = F.when(is_("AllSame"), F.col("low.ints")).when(is_("ConstLinear"), F.array(F.expr("g[0].x"), step)).when(is_("LinearStartsLinear"), F.array(F.expr("g[0].x"), step, F.expr("g[0].step")))
+    size = F.when(is_("AllSame"), 5 + 2 * n + F.col("single")).when(is_("ConstLinear"), 5 + 2 * n + 2).when(is_("LinearStartsLinear"), 5 + 2 * n + 6)
+    return stats.select(*KEYS, "n", "payload", "kind", params.alias("params"), size.cast("long").alias("meta_size"))
+
+
 def meta_groups(encodings: DataFrame) -> DataFrame:
-    """(blob, s, pattern, kind, n, single_cost, params, saving_size): one row per group.
+    """(blob, s, pattern, kind, n, params, meta_size): one row per group.
 
     ``params`` are those of the rule: AllSame the common parameters, ConstLinear [start, step], LinearStartsLinear [start,
     step of starts, step]. ``meta_size`` is the estimate 4 + 2n + 1 + p.
     """
-    e = encodings.filter(F.col("pattern").isin("CONST", "LINEAR", *SAME_KINDS))
-    value = F.struct("ints", F.coalesce("reals", F.expr("cast(array() as array<double>)")).alias("reals"))
-    stats = e.groupBy(*KEYS).agg(
-        F.count(F.lit(1)).alias("n"), F.min(value).alias("low"), F.max(value).alias("high"), F.max("cost").alias("single_cost"),
-        F.min(F.expr("get(ints, 1)")).alias("low_step"), F.max(F.expr("get(ints, 1)")).alias("high_step"),
-    ).filter(F.col("n") >= LEAST)
-    n = F.col("n")
-    same = F.col("low") == F.col("high")
-    worth = F.when(F.col("pattern") == "CONST", 4 * n > 7 + 2 * n).when(F.col("pattern") == "LINEAR", 10 + 2 * n < 7 * n).otherwise(6 + 2 * n + F.col("single_cost") < n * (3 + F.col("single_cost")))
-    equal = stats.filter(same & worth).select(*KEYS, F.lit("AllSame").alias("kind"), "n", "single_cost", F.col("low.ints").alias("params"), (5 + 2 * n + F.col("single_cost")).alias("meta_size"))
-    # Starts are bytes: more than 256 tracks can't rise or fall evenly.
-    open_ = stats.filter(~same & (n <= MOST_IN_SEQUENCE) & ((F.col("pattern") == "CONST") | ((F.col("pattern") == "LINEAR") & (F.col("low_step") == F.col("high_step")))))
-    ordered = e.join(open_.select(*KEYS), KEYS, "left_semi").groupBy(*KEYS).agg(F.sort_array(F.collect_list(F.struct("track", F.expr("ints[0]").alias("x"), F.expr("get(ints, 1)").alias("step")))).alias("g"))
-    even = F.expr("forall(sequence(1, size(g) - 1), k -> g[k].x - g[k - 1].x = g[1].x - g[0].x)")
-    step = F.expr("g[1].x - g[0].x")
-    size = F.size("g").cast("long")
-    linear = ordered.filter(even).select(
-        *KEYS, F.when(F.col("pattern") == "CONST", "ConstLinear").otherwise("LinearStartsLinear").alias("kind"), size.alias("n"),
-        F.when(F.col("pattern") == "CONST", 1).otherwise(4).cast("long").alias("single_cost"),
-        F.when(F.col("pattern") == "CONST", F.array(F.expr("g[0].x"), step)).otherwise(F.array(F.expr("g[0].x"), step, F.expr("g[0].step"))).alias("params"),
-        (5 + 2 * size + F.when(F.col("pattern") == "CONST", 2).otherwise(6)).cast("long").alias("meta_size"),
-    )
-    fits = F.when(F.col("pattern") == "CONST", F.expr("params[1] between -128 and 127") & (8 + 2 * n < 4 * n)).otherwise(12 + 2 * n < 7 * n)
-    return equal.unionByName(linear.filter(fits))
+    return pattern_stats(encodings).filter(F.col("kind").isNotNull()).drop("payload")
 
 
 def remaining(encodings: DataFrame, groups: DataFrame) -> DataFrame:

@@ -25,9 +25,13 @@ def blocks(signal: DataFrame, block: int = BLOCK) -> DataFrame:
 
 def tracks_of_blocks(blocked: DataFrame, sizes: list[int] = CANDIDATES, block: int = BLOCK) -> DataFrame:
     """(blob, s, track, v) for every size, zero-padded at the end of the signal. No track crosses a block, so nothing is shuffled."""
-    sized = blocked.withColumn("s", F.explode(F.array(*[F.lit(s) for s in sizes])))
-    cut = "transform(sequence(0, (size(a) + s - 1) div s - 1), k -> struct(k, slice(a, cast(k * s + 1 as int), s) as v))"
-    rows = sized.filter(F.size("a") > 0).select("blob", "blk", "s", F.explode(F.expr(cut)).alias("c"))
+    return cut(blocked.withColumn("s", F.explode(F.array(*[F.lit(s) for s in sizes]))), block)
+
+
+def cut(sized: DataFrame, block: int = BLOCK) -> DataFrame:
+    """(blob, s, track, v) of blocks with a column s that divides the block."""
+    place = "transform(sequence(0, (size(a) + s - 1) div s - 1), k -> struct(k, slice(a, cast(k * s + 1 as int), s) as v))"
+    rows = sized.filter(F.size("a") > 0).select("blob", "blk", "s", F.explode(F.expr(place)).alias("c"))
     padded = F.expr("concat(c.v, array_repeat(0, s - size(c.v)))")
     return rows.select("blob", "s", (F.col("blk") * (F.lit(block) / F.col("s")).cast("long") + F.col("c.k")).alias("track"), padded.alias("v"))
 

@@ -18,10 +18,9 @@ SEALED = ("CONST", "LINEAR", "RLE", "REPEAT", "DELTA", "LINEAR_WIDE", "LINEAR_F6
 
 def sizes(encodings: DataFrame) -> DataFrame:
     """(blob, s, est_size): entries that stand alone, plus groups."""
-    g = groups.meta_groups(encodings)
-    alone = encodings.groupBy("blob", "s", "pattern").agg(F.sum(F.col("cost") + ENTRY_BYTES).alias("size"))
-    single = groups.remaining(alone, g).select("blob", "s", "size")
-    return single.unionByName(g.select("blob", "s", (F.col("meta_size") + ENTRY_BYTES).alias("size"))).groupBy("blob", "s").agg(F.sum("size").cast("long").alias("est_size"))
+    p = groups.pattern_stats(encodings)
+    size = F.coalesce(F.col("meta_size") + ENTRY_BYTES, F.col("payload") + ENTRY_BYTES * F.col("n"))
+    return p.groupBy("blob", "s").agg(F.sum(size).cast("long").alias("est_size"))
 
 
 def best_geometry(sized: DataFrame) -> DataFrame:
@@ -41,6 +40,13 @@ def search_geometry(signal: DataFrame, candidates: list[int] | None = None) -> D
     return best_geometry(sizes(classify(tracks)))
 
 
+def encode_best(signal: DataFrame) -> DataFrame:
+    """Encodings of each signal at its best track length: all lengths are tried, then only the best is cut and kept."""
+    blocked = layout.blocks(signal)
+    best = best_geometry(sizes(classify(layout.tracks_of_blocks(blocked)))).select("blob", "s")
+    return classify(layout.cut(blocked.join(best, "blob")))
+
+
 def stride_scores(signal: DataFrame, lengths: DataFrame) -> DataFrame:
     """(blob, stride, score, matches): how often a value equals the one a stride later, over the first values of a signal.
 
