@@ -257,11 +257,12 @@ def _with_bytes(rows: DataFrame, members: DataFrame) -> DataFrame:
 def spans(rows: DataFrame, hot: int = HOT) -> DataFrame:
     """(RID, spans): for each row with a repeated window, the byte ranges [start, stop) that such windows cover, as found."""
     found = durable(anchors(rows), "suffix-anchors")
-    again = found.groupBy("core").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("core")
+    # Joins take stored tables, so that none shares a stage with an aggregate and a core with very many members can be split.
+    again = durable(found.groupBy("core").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("core"), "suffix-cores")
     repeated = durable(found.join(again, "core"), "suffix-repeated")
     members = repeated.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(RID, "anchor", "lo", "hi")).alias("at"))
     members = durable(members, "suffix-members")
-    kinds = members.groupBy("core").agg(F.count(F.lit(1)).alias("kinds"))
+    kinds = durable(members.groupBy("core").agg(F.count(F.lit(1)).alias("kinds")), "suffix-counts")
     sized = durable(members.join(kinds, "core"), "suffix-kinds")
     # One kind of member, found more than once: the interval is whole, there is nothing to sort.
     whole = sized.filter("kinds = 1").select(*KEYS, F.array(F.struct("at.lo", "at.hi")).alias("runs"))
