@@ -31,7 +31,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         F.xxhash64(lower_ascii(F.substring(text, 1, PREFIX))).alias("_prefix"),
         text.alias("_text"), *[c.alias(f"_c_{k}") for k, c in carry.items()],
     )
-    lengths = rows.groupBy("_len").count().filter("count > 1").select("_len")
+    # Joins take stored tables, so that none shares a stage with an aggregate: what is too large to broadcast can be split.
+    lengths = bounded(durable(rows.groupBy("_len").count().filter("count > 1").select("_len"), "dedup-length"))
     crowded = durable(
         rows.select("_len", "_prefix").join(lengths, "_len", "left_semi").groupBy("_len", "_prefix").count().filter("count > 1").drop("count"),
         "dedup-prefix",
@@ -42,11 +43,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         RID, F.col("_id").alias(id_col), F.col("_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), *kept_columns
     )
     full = rows.join(marked, ["_len", "_prefix"], "left_semi").withColumn("_full", F.sha2(lower_ascii(F.col("_text")), 256)).drop("_text", "_prefix")
-    groups = (
-        full.groupBy("_len", "_full")
-        .agg(F.max(F.struct("_id", RID)).alias("_top"), F.count(F.lit(1)).alias("group_size"))
-    )
-    together = full.join(groups, ["_len", "_full"]).select(
+    groups = durable(full.groupBy("_len", "_full").agg(F.max(F.struct("_id", RID)).alias("_top"), F.count(F.lit(1)).alias("group_size")), "dedup-full")
+    together = full.join(bounded(groups), ["_len", "_full"]).select(
         RID, F.col("_id").alias(id_col), F.col("_top._id").alias("keep_id"), "group_size", (F.col(RID) == F.col(f"_top.{RID}")).alias("kept"), *kept_columns
     )
     return alone.unionByName(together)
