@@ -14,6 +14,8 @@ from trackfit.llm.common import LOWER, RID, UPPER, bounded, durable, lower_ascii
 
 #: Characters of the prefix that the second level hashes.
 PREFIX = 256
+#: Groups of equal texts that may be broadcast: rows with a digest, 100,000 of them about 15 MB.
+GROUPS = 100_000
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: dict[str, Column] | None = None) -> DataFrame:
@@ -44,7 +46,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     )
     full = rows.join(marked, ["_len", "_prefix"], "left_semi").withColumn("_full", F.sha2(lower_ascii(F.col("_text")), 256)).drop("_text", "_prefix")
     groups = durable(full.groupBy("_len", "_full").agg(F.max(F.struct("_id", RID)).alias("_top"), F.count(F.lit(1)).alias("group_size")), "dedup-full")
-    together = full.join(bounded(groups), ["_len", "_full"]).select(
+    together = full.join(bounded(groups, GROUPS), ["_len", "_full"]).select(
         RID, F.col("_id").alias(id_col), F.col("_top._id").alias("keep_id"), "group_size", (F.col(RID) == F.col(f"_top.{RID}")).alias("kept"), *kept_columns
     )
     return alone.unionByName(together)
