@@ -61,35 +61,33 @@ class Model:
     centres: np.ndarray
     thresholds: np.ndarray
     _cache: dict[str, int] = field(default_factory=dict)
-    _rows: list[np.ndarray] = field(default_factory=list)
     _dense: np.ndarray | None = None
 
     def __getstate__(self):
-        return self.__dict__ | {"_cache": {}, "_rows": [], "_dense": None}
+        return self.__dict__ | {"_cache": {}, "_dense": None}
 
     def group(self, text: str) -> int:
         return int((self.centres @ letter_profile(text)).argmax())
 
     def embed(self, words: list[str]) -> np.ndarray:
         """Vectors of words; those seen before come from a bounded cache."""
+        if not words:
+            return np.zeros((0, EMBED), np.float32)
         cache = self._cache
         if len(cache) > CACHE_WORDS:
             cache.clear()
-            self._rows.clear()
             self._dense = None
         new = {w for w in words if w not in cache}
-        if new or self._dense is None:
+        if new:
             for w in new:
                 cache[w] = len(cache)
-            if new:
-                self._rows.append(self.table[np.array([buckets(w) for w in new], np.int64)].sum(axis=1))
-                size = len(cache)
-                if self._dense is None or size > len(self._dense):
-                    grown = np.zeros((max(1024, 2 * size), EMBED), np.float32)
-                    if self._dense is not None:
-                        grown[: len(self._dense)] = self._dense
-                    self._dense = grown
-                self._dense[size - len(new) : size] = self._rows.pop()
+            size = len(cache)
+            if self._dense is None or size > len(self._dense):
+                grown = np.zeros((max(1024, 2 * size), EMBED), np.float32)
+                if self._dense is not None:
+                    grown[: len(self._dense)] = self._dense
+                self._dense = grown
+            self._dense[size - len(new) : size] = self.table[np.array([buckets(w) for w in new], np.int64)].sum(axis=1)
         return self._dense[np.fromiter(map(cache.__getitem__, words), np.int64, len(words))]
 
     def pooled(self, vectors: np.ndarray) -> np.ndarray:
