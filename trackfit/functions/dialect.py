@@ -28,7 +28,13 @@ class Spark:
         return f"forall({items}, {x} -> {cond})"
 
     def part(self, items: str, start: object, length: object) -> str:
-        return f"slice({items}, cast({start} + 1 as int), cast({length} as int))"
+        return f"slice({items}, cast({start} + 1 as int), greatest(cast({length} as int), 0))"
+
+    def diff(self, items: str) -> str:
+        """First differences. Both operands are whole lists: indexing inside a lambda would evaluate ``items`` once per element
+        where the optimiser puts its expression in place of the column."""
+        rest = f"greatest(size({items}) - 1, 0)"
+        return f"zip_with(slice({items}, 2, {rest}), slice({items}, 1, {rest}), (p, q) -> p - q)"
 
     def least(self, items: str) -> str:
         return f"array_min({items})"
@@ -97,6 +103,9 @@ class Duck(Spark):
     def part(self, items: str, start: object, length: object) -> str:
         return f"list_slice({items}, ({start}) + 1, ({start}) + ({length}))"
 
+    def diff(self, items: str) -> str:
+        return self.each(self.seq(1, f"{self.size(items)} - 1"), "j", f"{self.at(items, 'j')} - {self.at(items, 'j - 1')}")
+
     def least(self, items: str) -> str:
         return f"list_min({items})"
 

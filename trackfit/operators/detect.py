@@ -58,7 +58,7 @@ def words(s: Spark, width: int) -> str:
 
 
 def differences(s: Spark, items: str) -> str:
-    return s.each(s.seq(1, f"{s.size(items)} - 1"), "j", f"{s.at(items, 'j')} - {s.at(items, 'j - 1')}")
+    return s.diff(items)
 
 
 def run_starts(s: Spark, items: str) -> str:
