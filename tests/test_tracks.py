@@ -32,9 +32,9 @@ def odd_tracks():
         k = rng.randrange(len(v))
         out.append([*v[:k], v[k] ^ 9, *v[k + 1 :]])  # near misses
         out.append([*v[: len(v) - 3], 0, 0, 0])  # padding at the end
-    out += [[rng.randrange(256) for _ in range(n)] for n in (1, 2, 3, 4, 7, 8, 16, 33, 64, 512) for _ in range(3)]
+    out += [[rng.randrange(256) for _ in range(n)] for n in (1, 2, 3, 4, 7, 8, 16, 33, 64, 128) for _ in range(3)]
     out += [[rng.randrange(4) for _ in range(n)] for n in (8, 16, 64, 300) for _ in range(3)]
-    out += [[5], [5, 5], [5, 6], [0] * 600, [i % 256 for i in range(600)], [255, 0] * 20, list(range(256)) * 2]
+    out += [[5], [5, 5], [5, 6], [0] * 300, [i % 256 for i in range(300)], [255, 0] * 20, list(range(256))]
     return out
 
 

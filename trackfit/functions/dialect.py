@@ -30,6 +30,10 @@ class Spark:
     def part(self, items: str, start: object, length: object) -> str:
         return f"slice({items}, cast({start} + 1 as int), greatest(cast({length} as int), 0))"
 
+    def let(self, name: str, value: str, body: str) -> str:
+        """``body`` with ``name`` standing for ``value``, which is evaluated once."""
+        return f"get(transform(array({value}), {name} -> {body}), 0)"
+
     def diff(self, items: str) -> str:
         """First differences. Both operands are whole lists: indexing inside a lambda would evaluate ``items`` once per element
         where the optimiser puts its expression in place of the column."""
@@ -103,6 +107,9 @@ class Duck(Spark):
     def part(self, items: str, start: object, length: object) -> str:
         return f"list_slice({items}, ({start}) + 1, ({start}) + ({length}))"
 
+    def let(self, name: str, value: str, body: str) -> str:
+        return f"list_extract(list_transform([{value}], lambda {name}: {body}), 1)"
+
     def diff(self, items: str) -> str:
         return self.each(self.seq(1, f"{self.size(items)} - 1"), "j", f"{self.at(items, 'j')} - {self.at(items, 'j - 1')}")
 

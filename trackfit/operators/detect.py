@@ -75,6 +75,10 @@ def runs(s: Spark, items: str, starts: str) -> str:
     return s.flat(s.each(s.seq(0, f"{s.size(starts)} - 1"), "r", cut))
 
 
+def bound_runs(s: Spark, items: str) -> str:
+    return s.let("rv", items, s.let("rs", run_starts(s, "rv"), runs(s, "rv", "rs")))
+
+
 def rules(s: Spark = SPARK) -> dict[str, Rule]:
     """Rules over the columns v, n, d, w4, w2 (words), dd, d3, d4 (higher differences), rl and dl (runs of v and of d)."""
     v0 = s.at("v", 0)
@@ -155,9 +159,9 @@ def rules(s: Spark = SPARK) -> dict[str, Rule]:
 def helpers(s: Spark = SPARK) -> list[dict[str, str]]:
     """Columns that rules share, in steps that build on each other."""
     return [
-        {"n": s.size("v"), "d": differences(s, "v"), "w4": words(s, 4), "w2": words(s, 2), "vs": run_starts(s, "v")},
-        {"dd": differences(s, "d"), "d_w4": differences(s, "w4"), "d_w2": differences(s, "w2"), "ds": run_starts(s, "d"), "rl": runs(s, "v", "vs")},
-        {"d3": differences(s, "dd"), "dl": runs(s, "d", "ds")},
+        {"n": s.size("v"), "d": differences(s, "v"), "w4": words(s, 4), "w2": words(s, 2), "rl": bound_runs(s, "v")},
+        {"dd": differences(s, "d"), "d_w4": differences(s, "w4"), "d_w2": differences(s, "w2"), "dl": bound_runs(s, "d")},
+        {"d3": differences(s, "dd")},
         {"d4": differences(s, "d3")},
     ]
 
