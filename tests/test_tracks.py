@@ -158,7 +158,7 @@ def test_signals_come_back_whole(spark, values):
     lengths = spark.createDataFrame([("s", len(values))], "blob string, length long")
     assert api.verify(s, api.fit(s), lengths).count() == 0
     assert api.verify(s, api.fit(s, 16), lengths).count() == 0
-    spoilt = s.withColumn("v", F.when(F.col("pos") == 0, F.col("v") ^ 1).otherwise(F.col("v")))
+    spoilt = s.withColumn("v", F.when(F.col("pos") == 0, F.col("v").bitwiseXOR(1)).otherwise(F.col("v")))
     assert api.verify(spoilt, api.fit(s), lengths).count() == 2
 
 
