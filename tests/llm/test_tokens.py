@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
 from hypothesis import given, settings
@@ -49,6 +50,22 @@ def test_packing_empty(empty):
     assert packing.pack_documents(empty).count() == 0
 
 
+def test_long_runs_of_white_space(tokenizer):
+    texts = [" " * 1_500_000, "a" + "\n" * 1_200_000 + "b", "word\t\r\n" * 5_000, " " * 9_999 + "x", "\u3000" * 400_000]
+    got = list(tokens.encode_batch(tokens.default_path(), pa.array(texts)))
+    assert [g.tolist() for g in got] == [tokenizer(t) for t in texts]
+
+
+def test_common_lengths_get_more_salts(spark, store):
+    rows = [(i % 150, "same text" if i % 3 else "another text that is longer") for i in range(300)]  # ids and texts repeat
+    cut_up = store(packing.pieces(store(spark.createDataFrame(rows, "doc_id long, text string"), "same"), context=16), "same-pieces")
+    plain, dealt = packing.pack(cut_up, context=16), packing.pack(cut_up, context=16, part=1)
+    content = lambda df: Counter((r["doc_id"], r["start"], r["length"]) for r in df.collect())
+    slots = lambda df: sorted((r["sequence_id"], r["offset"], r["length"]) for r in df.collect())
+    assert content(plain) == content(dealt) and sum(content(dealt).values()) >= 300
+    assert slots(plain) == slots(dealt) and len(set(slots(dealt))) == len(slots(dealt))
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.dictionaries(st.integers(1, 64), st.integers(1, 50), max_size=20))
 def test_shortest_pack_first_places_each_length(histogram):

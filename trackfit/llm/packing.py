@@ -18,13 +18,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from trackfit.llm import tokens
-from trackfit.llm.common import durable, table
+from trackfit.llm.common import bounded, durable, table
 
 CONTEXT = 2048
 #: Id that closes a document.
 END_ID = 1
-#: Parts into which the pieces of one length are dealt for ranking.
-SALTS = 64
+#: Parts, at least, into which the pieces of one length are dealt for ranking, and pieces of a part, about, at most.
+SALTS, PART = 64, 1 << 18
 
 
 def cut(total: int, context: int) -> list[tuple[int, int]]:
@@ -89,13 +89,18 @@ def pieces(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", tex
     return cut_up.withColumnRenamed("doc_id", id_col)
 
 
-def pack(cut_up: DataFrame, id_col: str = "doc_id", context: int = CONTEXT) -> DataFrame:
+def pack(cut_up: DataFrame, id_col: str = "doc_id", context: int = CONTEXT, part: int = PART) -> DataFrame:
     """Add sequence_id and offset to stored pieces. Sequences are gapless from offset 0; pieces that tie in every column take either place."""
-    salted = cut_up.withColumn("_salt", F.pmod(F.xxhash64(id_col, "start", "ids_crc32"), F.lit(SALTS)).cast("int"))
-    counts = salted.groupBy("length", "_salt").agg(F.count(F.lit(1)).alias("n"))  # at most context * SALTS rows
+    # At most ``context`` rows. A length that is very common gets more salts, so that a part stays bounded at any size.
+    histogram = {r["length"]: r["n"] for r in cut_up.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
+    many = {length: -(-n // part) for length, n in histogram.items() if n > SALTS * part}
+    salts = F.lit(SALTS).cast("long")
+    if many:
+        salts = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x).cast("long") for pair in many.items() for x in pair]), F.col("length")), salts)
+    salted = cut_up.withColumn("_salt", F.pmod(F.xxhash64(id_col, "start", "ids_crc32"), salts))
+    counts = salted.groupBy("length", "_salt").agg(F.count(F.lit(1)).alias("n"))  # at most context * SALTS rows, and pieces / part
     before = Window.partitionBy("length").orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)
     offsets = durable(counts.withColumn("_before", F.coalesce(F.sum("n").over(before), F.lit(0))), "pack-counts")
-    histogram = {r["length"]: r["n"] for r in offsets.groupBy("length").agg(F.sum("n").alias("n")).collect()}
 
     # Slots of a length, in order of rank: where a run of ranks begins, its first sequence, its place there.
     slots: dict[int, list[tuple[int, int, int]]] = {length: [] for length in histogram}
@@ -126,7 +131,7 @@ def pack(cut_up: DataFrame, id_col: str = "doc_id", context: int = CONTEXT) -> D
     within = Window.partitionBy("length", "_salt").orderBy(id_col, "start", "ids_crc32")
     ranked = (
         salted.withColumn("_row", F.row_number().over(within) - 1)
-        .join(F.broadcast(offsets.select("length", "_salt", "_before")), ["length", "_salt"])
+        .join(bounded(offsets.select("length", "_salt", "_before")), ["length", "_salt"])
         .select(*cut_up.columns, (F.col("_before") + F.col("_row")).alias("_rank"))
     )
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in cut_up.schema) + ", sequence_id long, offset long"
