@@ -252,8 +252,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = durable(fingerprints(docs, id_col, text_col, shingle), "simhash")
     nodes = durable(rows.groupBy("fp").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", RID)).alias("least")), "simhash-nodes")
     roots = components(links(nodes.select("fp")))
-    rooted = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    heads = rooted.groupBy("root").agg(F.min("least").alias("head"))
+    rooted = durable(nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root")), "simhash-roots")
+    # Stored, so that the join with a root of very many fingerprints shares no stage with the aggregate and can be split.
+    heads = durable(rooted.groupBy("root").agg(F.min("least").alias("head")), "simhash-heads")
     of = durable(rooted.join(heads, "root").select("fp", "head"), "simhash-components")
     return rows.join(of, "fp").select(RID, F.col("id").alias(id_col), "fp", F.col("head.id").alias("component_id"), (F.col(RID) == F.col(f"head.{RID}")).alias("kept"))
 
