@@ -56,6 +56,15 @@ def test_long_runs_of_white_space(tokenizer):
     assert [g.tolist() for g in got] == [tokenizer(t) for t in texts]
 
 
+def test_cache_of_parts_is_bounded_by_characters(monkeypatch):
+    monkeypatch.setattr(sentencepieces, "CACHE_CHARS", 1000)
+    vocab = sentencepieces.Pieces(sentencepieces.default_path())
+    for text in ("short words here", "x" * 900, "y" * 900, "short words here"):
+        assert vocab.encode(text) == b"".join(b"%d," % i for i in vocab.library.encode(text))
+        vocab.check()
+        assert sum(map(len, vocab)) == vocab.chars <= 1000
+
+
 def test_common_lengths_get_more_salts(spark, store):
     rows = [(i % 150, "same text" if i % 3 else "another text that is longer") for i in range(300)]  # ids and texts repeat
     cut_up = store(packing.pieces(store(spark.createDataFrame(rows, "doc_id long, text string"), "same"), context=16), "same-pieces")

@@ -21,7 +21,8 @@ from pyspark.sql import functions as F
 from trackfit.llm.common import table
 
 SPACE = "▁"
-CACHE_PARTS = 300_000
+#: Parts that a worker's cache holds, and their characters: a part can be as long as a text.
+CACHE_PARTS, CACHE_CHARS = 300_000, 16_000_000
 CHECK_ROWS = 1000
 
 
@@ -60,6 +61,7 @@ class Pieces(dict):
         self.joints = {p.piece[i : i + 2] for _, p in normal for i in range(len(p.piece) - 1)}
         self.cuts_at_spaces = not any(j[1] == SPACE and j[0] != SPACE for j in self.joints)
         self.cores: dict[str, bytes] = {}
+        self.chars = 0  # of the parts in the cache
         self.new: list[str] = []
 
     def merge(self, part: str) -> list[str]:
@@ -131,11 +133,12 @@ class Pieces(dict):
             for key, ids in zip(self.new, self.library.encode(self.new, num_threads=1)):
                 if key and b"".join(b"%d," % i for i in ids) != self[key]:
                     raise ValueError(f"the agenda and the library disagree on {key!r}")
+            self.chars += sum(map(len, self.new))
             self.new = []
-        if len(self) > CACHE_PARTS:
+        if max(len(self), len(self.cores)) > CACHE_PARTS or self.chars > CACHE_CHARS:
             self.clear()
-        if len(self.cores) > CACHE_PARTS:
             self.cores.clear()
+            self.chars = 0
 
 
 @lru_cache(maxsize=2)

@@ -30,7 +30,8 @@ MIN_TEXTS = 3
 #: Weight of the cut 0 against a calibrated one, in texts of label 1 kept out of training.
 PRIOR = 5
 GROUPS, GROUP_BINS = 4, 512
-CACHE_WORDS = 200_000
+#: Words that a worker's cache holds before it is emptied, and their characters.
+CACHE_WORDS, CACHE_CHARS = 200_000, 4_000_000
 STRIP = ".,;:!?\"'()[]{}<>*#%&$|"
 
 
@@ -62,9 +63,10 @@ class Model:
     thresholds: np.ndarray
     _cache: dict[str, int] = field(default_factory=dict)
     _dense: np.ndarray | None = None
+    _chars: int = 0
 
     def __getstate__(self):
-        return self.__dict__ | {"_cache": {}, "_dense": None}
+        return self.__dict__ | {"_cache": {}, "_dense": None, "_chars": 0}
 
     def group(self, text: str) -> int:
         return int((self.centres @ letter_profile(text)).argmax())
@@ -74,11 +76,12 @@ class Model:
         if not words:
             return np.zeros((0, EMBED), np.float32)
         cache = self._cache
-        if len(cache) > CACHE_WORDS:
+        if len(cache) > CACHE_WORDS or self._chars > CACHE_CHARS:
             cache.clear()
-            self._dense = None
+            self._dense, self._chars = None, 0
         new = {w for w in words if w not in cache}
         if new:
+            self._chars += sum(map(len, new))
             for w in new:
                 cache[w] = len(cache)
             size = len(cache)
