@@ -63,6 +63,7 @@ def test_cache_of_parts_is_bounded_by_characters(monkeypatch):
         assert vocab.encode(text) == b"".join(b"%d," % i for i in vocab.library.encode(text))
         vocab.check()
         assert sum(map(len, vocab)) == vocab.chars <= 1000
+        assert sum(map(len, vocab.cores)) == vocab.core_chars <= 1000
 
 
 def test_common_lengths_get_more_salts(spark, store):

@@ -22,7 +22,7 @@ from trackfit.llm.common import table
 
 SPACE = "▁"
 #: Parts that a worker's cache holds, and their characters: a part can be as long as a text.
-CACHE_PARTS, CACHE_CHARS = 300_000, 16_000_000
+CACHE_PARTS, CACHE_CHARS = 600_000, 16_000_000
 CHECK_ROWS = 1000
 
 
@@ -60,8 +60,9 @@ class Pieces(dict):
         #: Neighbours that some piece holds together: merges never cross others.
         self.joints = {p.piece[i : i + 2] for _, p in normal for i in range(len(p.piece) - 1)}
         self.cuts_at_spaces = not any(j[1] == SPACE and j[0] != SPACE for j in self.joints)
+        self.before: dict[str, bytes] = {}  # the cache as it was when it was last full
         self.cores: dict[str, bytes] = {}
-        self.chars = 0  # of the parts in the cache
+        self.chars = self.core_chars = 0  # of the parts in the two caches
         self.new: list[str] = []
 
     def merge(self, part: str) -> list[str]:
@@ -95,10 +96,15 @@ class Pieces(dict):
                     out.append(i)
                 else:
                     out += [self.bytes.get(b, self.unknown) for b in s.encode()] if self.bytes else [self.unknown]
+            self.core_chars += len(part)
             found = self.cores[part] = b"%s," % b",".join(b"%d" % i for i in out)
         return found
 
     def __missing__(self, key: str) -> bytes:
+        if (found := self.before.get(key)) is not None:  # checked then
+            self[key] = found
+            self.chars += len(key)
+            return found
         marked = SPACE + key.replace(" ", SPACE)
         joints, start, out = self.joints, 0, []
         for i in range(1, len(marked)):
@@ -135,10 +141,14 @@ class Pieces(dict):
                     raise ValueError(f"the agenda and the library disagree on {key!r}")
             self.chars += sum(map(len, self.new))
             self.new = []
-        if max(len(self), len(self.cores)) > CACHE_PARTS or self.chars > CACHE_CHARS:
+        # One goes without the other: parts that come again are then put together from cores, not merged.
+        if len(self) > CACHE_PARTS or self.chars > CACHE_CHARS:
+            self.before = dict(self) if self.chars <= CACHE_CHARS else {}
             self.clear()
-            self.cores.clear()
             self.chars = 0
+        if len(self.cores) > CACHE_PARTS or self.core_chars > CACHE_CHARS:
+            self.cores.clear()
+            self.core_chars = 0
 
 
 @lru_cache(maxsize=2)
