@@ -278,9 +278,10 @@ _register(
 
 
 def _modes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every stride that is detected or always tried, and every chunk size."""
     sig, lengths = _stride_inputs(spark, sf_dir)
-    fixed = lengths.select("blob", F.explode(F.array(*map(F.lit, (8, 64)))).alias("stride"))
-    return _long(search.modes(sig, lengths, fixed, [4096]), "setting")
+    strides = search.stride_candidates(search.stride_scores(sig, lengths), lengths)
+    return _long(search.modes(sig, lengths, strides), "setting")
 
 
 _register("mode_sizes", _modes)
