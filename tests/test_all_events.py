@@ -1,0 +1,38 @@
+"""Queries over signals read every event, in more than one signal of stairs and of ramps."""
+
+import os
+
+import duckdb
+import pytest
+
+from tests.test_catalog import canonical
+from trackfit import catalog
+
+DATA = "/root/testdata/sf0.01"
+pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="needs the driver's tables")
+
+
+@pytest.fixture(scope="module")
+def duck():
+    con = duckdb.connect()
+    for name in ("part", "orders", "events"):
+        con.sql(f"CREATE VIEW {name} AS SELECT * FROM '{DATA}/{name}.parquet'")
+    return con
+
+
+@pytest.mark.parametrize("name", catalog.OVER_SIGNALS)
+def test_over_all_events(spark, duck, name):
+    want = duck.sql(catalog.oracle_sql()[f"{name}_all_events"])
+    got = catalog.queries()[f"{name}_all_events"](spark, DATA)
+    columns = sorted(got.columns)
+    rows = canonical(tuple(r) for r in got.select(columns).collect())
+    assert rows == canonical(want.select(*[f'"{c}"' for c in columns]).fetchall())
+    assert all(any(f"'{blob}'" in r for r in rows) for blob in ("stairs/0", "stairs/2", "ramps/1"))
+
+
+def test_every_event_is_in_both(spark):
+    n = duckdb.sql(f"SELECT count(*) FROM '{DATA}/events.parquet'").fetchall()[0][0]
+    length = {r["blob"]: r["length"] for r in catalog.queries()["verify_roundtrip_all_events"](spark, DATA).collect()}
+    assert all(sum(m for blob, m in length.items() if blob.startswith(kind)) == n for kind in ("stairs/", "ramps/"))
+    modes = {r["blob"] for r in catalog.queries()["best_mode"](spark, DATA).collect()}
+    assert {"stairs/0", "stairs/1", "stairs/2", "ramps/0", "ramps/1"} <= modes

@@ -21,7 +21,7 @@ def made(spark, tmp_path_factory):
     spark.createDataFrame([(i, v / 100) for i, v in enumerate(totals)], "o_orderkey long, o_totalprice double").write.parquet(f"{path}/orders.parquet")
     spark.createDataFrame([(i, datetime(2024, 1, 1)) for i in range(300)], "event_id long, ts timestamp").write.parquet(f"{path}/events.parquet")
     events = range(300)
-    return path, {"prices": prices, "totals": totals, "stairs": [i // 64 % 256 for i in events], "ramps": [i // 64 + i % 64 for i in events], "filled": [255 for _ in events]}
+    return path, {"prices": prices, "totals": totals, "stairs/0": [i // 64 % 256 for i in events], "ramps/0": [i // 64 + i % 64 for i in events], "filled": [255 for _ in events]}
 
 
 def candidates(v):

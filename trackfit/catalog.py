@@ -168,8 +168,13 @@ _register("structure_view", _structure_view, f"WITH {oracles.family_tracks(INTEG
 
 # ---- geometry and searches -----------------------------------------------------------------------------------------------
 
+class _AllEvents(str):
+    """A folder whose events all enter the signals."""
+
+
 def _signals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _with_views(spark, sf_dir, oracles.signals_sql("div"), ("part", "orders", "events"))
+    sql = oracles.all_events_sql if isinstance(sf_dir, _AllEvents) else oracles.signals_sql
+    return _with_views(spark, sf_dir, sql("div"), ("part", "orders", "events"))
 
 
 def _encodings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -240,7 +245,7 @@ _register(
 def _columnar(spark: SparkSession, sf_dir: str) -> DataFrame:
     sig = _signals(spark, sf_dir)
     lengths = sig.groupBy("blob").agg(F.count(F.lit(1)).alias("length"))
-    j = sig.join(F.broadcast(lengths), "blob")  # one row per signal, and there are five
+    j = sig.join(F.broadcast(lengths), "blob")  # one row per signal: five, or one for each 4,096 and 8,192 events
     turned = layout.columnar(j, 21, F.col("length")).select("blob", "pos", "v", "length")
     back = layout.uncolumnar(turned.withColumn("turned", F.col("pos")), 21, F.col("length"))
     return back.select("blob", "turned", "pos", F.col("v").cast("long").alias("v"))
@@ -278,8 +283,8 @@ _register(
 
 
 def _modes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every stride that is detected or always tried, and every chunk size."""
-    sig, lengths = _stride_inputs(spark, sf_dir)
+    """Every stride that is detected or always tried, and every chunk size; over all events."""
+    sig, lengths = _stride_inputs(spark, _AllEvents(sf_dir))
     strides = search.stride_candidates(search.stride_scores(sig, lengths), lengths)
     return _long(search.modes(sig, lengths, strides), "setting")
 
@@ -307,6 +312,14 @@ def _mode(spark: SparkSession, sf_dir: str) -> DataFrame:
 _register("histogram_mode", _mode, f"WITH sig AS ({oracles.signals_sql()}), c AS (SELECT blob, pos // 256 AS track, CAST(v AS BIGINT) AS v, count(*) AS n FROM sig GROUP BY ALL) SELECT blob, track, arg_max(v, n * 256 + v) AS v, max(n) AS n FROM c GROUP BY blob, track")
 _register("byte_delta", lambda s, d: _long(transforms.delta_of_signal(_signals(s, d)), "v"), f"WITH sig AS ({oracles.signals_sql()}) SELECT blob, pos, CAST((v - coalesce(lag(v) OVER (PARTITION BY blob ORDER BY pos), 0) + 256) % 256 AS BIGINT) AS v FROM sig")
 
+# The statements above take the first 4,096 events as stairs and 8,192 as ramps; these are the same queries over all events.
+OVER_SIGNALS = [
+    "geometry_sizes", "best_geometry", "meta_groups", "remaining_individuals", "sealed_geometry", "analyze_histogram_256", "pattern_breakdown", "verify_roundtrip",
+    "layout_tracks", "columnar_roundtrip", "stride_scores", "stride_candidates", "entropy_gate", "histogram_mode", "byte_delta",
+]
+for _n in OVER_SIGNALS:
+    _register(f"{_n}_all_events", lambda s, d, query=_queries[_n]: query(s, _AllEvents(d)), _oracles[_n].replace(oracles.signals_sql(), oracles.all_events_sql()))
+
 
 def _text_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = signals.from_text(_table(spark, sf_dir, "documents"), F.col("doc_id"), F.col("text"))

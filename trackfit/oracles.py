@@ -79,6 +79,18 @@ def signals_sql(integer_div: str = "//") -> str:
     )
 
 
+def all_events_sql(integer_div: str = "//") -> str:
+    """``signals_sql`` with every event in stairs and ramps: dealt to as many signals of 4,096 and 8,192 values as there are."""
+    d = integer_div
+    return (
+        "SELECT 'prices' AS blob, CAST(p_partkey AS BIGINT) AS pos, CAST(CAST(round(p_retailprice * 10) AS BIGINT) % 256 AS INT) AS v FROM part "
+        "UNION ALL SELECT 'totals', CAST(o_orderkey AS BIGINT), CAST(CAST(round(o_totalprice * 100) AS BIGINT) % 256 AS INT) FROM orders "
+        f"UNION ALL SELECT concat('stairs/', CAST(event_id {d} 4096 AS STRING)), CAST(event_id % 4096 AS BIGINT), CAST((event_id {d} 64) % 256 AS INT) FROM events "
+        f"UNION ALL SELECT concat('ramps/', CAST(event_id {d} 8192 AS STRING)), CAST(event_id % 8192 AS BIGINT), CAST((event_id % 8192) {d} 64 + event_id % 64 AS INT) FROM events "
+        "UNION ALL SELECT 'filled', CAST(event_id AS BIGINT), 255 FROM events"
+    )
+
+
 def geometry(sizes: list[int]) -> str:
     return (
         f"sig AS ({signals_sql()}), wide AS (SELECT *, CAST(unnest({sizes}) AS BIGINT) AS s FROM sig), "
