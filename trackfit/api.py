@@ -42,10 +42,30 @@ def fit(signal: DataFrame, s: int | None = None) -> DataFrame:
     return cascade.classify(layout.tracks_of_blocks(layout.blocks(signal), [s])) if s else search.encode_best(signal)
 
 
+def fit_as(signal: DataFrame, lengths: DataFrame, stride: int = 0, chunk: int = 0) -> DataFrame:
+    """Encodings (blob, stride, chunk, chunk_id, s, track, ...) of a signal whose records of ``stride`` values are turned to columns, the
+    last one filled with zeros, and which is then cut to chunks, each at its best track length; 0: not turned, one chunk."""
+    if stride:
+        whole = signal.join(lengths, "blob").select("blob", "length", "pos", "v").union(layout.padding(lengths.select("blob", "length"), F.lit(stride)))
+        signal = layout.columnar(whole, stride, F.col("length")).select("blob", "pos", "v")
+    chunked = layout.chunked(signal, chunk) if chunk else signal.withColumn("chunk_id", F.lit(0).cast("long"))
+    e = fit(chunked.select(F.struct("blob", "chunk_id").alias("blob"), "pos", "v"))
+    return e.select("blob.blob", F.lit(stride).alias("stride"), F.lit(chunk).cast("long").alias("chunk"), "blob.chunk_id", *[c for c in e.columns if c != "blob"])
+
+
 def restore(encodings: DataFrame, lengths: DataFrame) -> DataFrame:
-    """(blob, pos, v) of encodings; lengths has (blob, length)."""
-    rebuilt = rebuild.rebuild(encodings.select("blob", "s", "track", "pattern", "ints", "reals")).join(lengths, "blob")
-    return rebuild.reassemble(rebuilt, F.col("length"), ["blob"])
+    """(blob, pos, v) of encodings; lengths has (blob, length). Stride and chunks of ``fit_as`` are undone."""
+    if "chunk_id" not in encodings.columns:
+        rebuilt = rebuild.rebuild(encodings.select("blob", "s", "track", "pattern", "ints", "reals")).join(lengths, "blob")
+        return rebuild.reassemble(rebuilt, F.col("length"), ["blob"])
+    keys = ["blob", "stride", "chunk", "chunk_id"]
+    rebuilt = rebuild.rebuild(encodings.select(*keys, "s", "track", "pattern", "ints", "reals")).join(lengths.select("blob", "length"), "blob")
+    turned = F.when(F.col("stride") > 0, layout.padded_length(F.col("length"), F.nullif(F.col("stride"), F.lit(0)))).otherwise(F.col("length"))
+    start = F.col("chunk_id") * F.col("chunk")
+    mine = F.when(F.col("chunk") > 0, F.least(F.col("chunk"), turned - start)).otherwise(turned)
+    whole = rebuild.reassemble(rebuilt, mine, [*keys, "length"]).withColumn("pos", F.col("pos") + start)
+    # A signal that was not turned is one column: its positions stay.
+    return layout.uncolumnar(whole, F.greatest("stride", F.lit(1)), F.col("length")).select("blob", "pos", "v")
 
 
 def verify(signal: DataFrame, encodings: DataFrame, lengths: DataFrame) -> DataFrame:
@@ -54,15 +74,22 @@ def verify(signal: DataFrame, encodings: DataFrame, lengths: DataFrame) -> DataF
     return a.exceptAll(b).withColumn("side", F.lit("lost")).unionByName(b.exceptAll(a).withColumn("side", F.lit("added")))
 
 
+def stride_choices(signal: DataFrame, lengths: DataFrame, stride: int = 0) -> DataFrame:
+    """(blob, stride): the one given, else those that the search tries."""
+    if stride:
+        return lengths.select("blob", F.lit(stride).alias("stride"))
+    return search.stride_candidates(search.stride_scores(signal, lengths), lengths)
+
+
 def main(argv: list[str] | None = None) -> int:
     p = argparse.ArgumentParser(prog="trackfit", description=__doc__)
     p.add_argument("files", nargs="*")
     p.add_argument("-d", "--decompress", action="store_true")
     p.add_argument("-t", "--test", action="store_true", help="rebuild and compare")
     p.add_argument("-f", "--force", action="store_true", help="overwrite")
-    p.add_argument("-r", "--record", type=int, help="turn records of so many bytes to columns first")
-    p.add_argument("-C", "--chunk", type=parse_size, help="chunk size, with k, m or g")
-    p.add_argument("-b", "--best", action="store_true", help="search strides and chunks too")
+    p.add_argument("-r", "--record", type=int, help="turn records of so many bytes to columns first; with -b the only stride tried")
+    p.add_argument("-C", "--chunk", type=parse_size, help="chunk size, with k, m or g; with -b the only one tried. Files over 1 MiB are cut at 64 KiB without -r, -C and -b")
+    p.add_argument("-b", "--best", action="store_true", help="search strides and chunks too and encode by the best")
     p.add_argument("-j", "--threads", type=parse_threads, default=parse_threads("all"))
     p.add_argument("--analyze", action="store_true")
     p.add_argument("--visualize", action="store_true")
@@ -80,16 +107,19 @@ def main(argv: list[str] | None = None) -> int:
         arrays = signals.from_files(spark, path).cache()
         lengths = arrays.select("blob", F.size("a").cast("long").alias("length"))
         signal = long_form(arrays)
-        if a.record:
-            signal = layout.columnar(signal.join(lengths, "blob"), a.record, F.col("length")).select("blob", "pos", "v")
+        stride, chunk = a.record or 0, a.chunk or 0
         if a.analyze or a.best:
-            strides = search.stride_candidates(search.stride_scores(signal, lengths), lengths)
-            found = search.modes(signal, lengths, strides, [a.chunk] if a.chunk else None)
+            found = search.modes(signal, lengths, stride_choices(signal, lengths, stride), [chunk] if chunk else None).cache()
             (report.recommend(found) if a.analyze else search.best_mode(found)).show(truncate=False)
             if a.analyze:
                 report.pattern_histogram(fit(signal, report.ANALYSIS_SIZE)).orderBy(F.desc("n_tracks")).show(truncate=False)
-            continue
-        encodings = fit(signal).cache()
+                continue
+            best = search.best_mode(found).first()
+            stride, chunk = (best["setting"] if best and best["mode"] == mode else 0 for mode in ("stride", "chunk"))
+        elif not stride and not chunk:
+            n = arrays.select(F.size("a").alias("n"), layout.gated_chunk(F.size("a")).alias("chunk")).first()
+            chunk = n["chunk"] if n["chunk"] < n["n"] else 0
+        encodings = fit_as(signal, lengths, stride, chunk).cache()
         if a.visualize:
             with open(path + ".svg", "w" if a.force else "x") as f:
                 f.write(report.svg(encodings))

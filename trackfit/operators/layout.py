@@ -58,7 +58,18 @@ def columnar(signal: DataFrame, record: int, length: Column) -> DataFrame:
     return signal.withColumn("pos", F.pmod("pos", F.lit(record)) * rows + F.floor(F.col("pos") / record).cast("long"))
 
 
-def uncolumnar(signal: DataFrame, record: int, length: Column) -> DataFrame:
+def padded_length(length: Column, record: Column) -> Column:
+    """The length with the last record full."""
+    return (F.floor((length + record - 1) / record) * record).cast("long")
+
+
+def padding(sized: DataFrame, record: Column) -> DataFrame:
+    """``sized`` (keys and length) with pos and v: the zeros that fill the last record."""
+    end = padded_length(F.col("length"), record)
+    return sized.filter(end > F.col("length")).withColumn("pos", F.explode(F.sequence(F.col("length").cast("long"), end - 1))).withColumn("v", F.lit(0))
+
+
+def uncolumnar(signal: DataFrame, record: int | Column, length: Column) -> DataFrame:
     """The inverse of ``columnar``; what padding added is cut off."""
     rows = F.floor((length + record - 1) / record).cast("long")
     back = F.pmod(F.col("pos"), rows) * record + F.floor(F.col("pos") / rows).cast("long")

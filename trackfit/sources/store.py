@@ -2,7 +2,8 @@
 
 The dataset keeps one row per track, partitioned by platter, with all keys in full width. The container is one binary value
 per blob: magic, version, length, track length and entries of (track, tag, parameters) in little-endian order, deflated
-where that is shorter.
+where that is shorter. Version 2 is for blobs turned by a stride or cut to chunks: its head also has the stride, the chunk size
+(0: none) and the number of chunks, and each chunk has a track length of its own.
 """
 
 from __future__ import annotations
@@ -21,6 +22,7 @@ from trackfit.plans.cascade import platter
 MAGIC = b"TFIT"
 SUFFIX = ".tfit"
 _HEAD, _ENTRY = "<4sBQIQ", "<QBII"
+_MORE, _CHUNK = "<IQQ", "<QIQ"  # stride, chunk size, chunks; chunk, track length, entries
 
 
 def write_encodings(encodings: DataFrame, path: str, mode: str = "errorifexists") -> None:
@@ -43,30 +45,45 @@ def restored_name(path: Column) -> Column:
 
 
 def size_bound(length: Column) -> Column:
-    """An upper bound for the container of a length: the raw bytes, the head, and an entry for each track of 8."""
+    """An upper bound for the container of a length, not turned and not cut to chunks: the raw bytes, the head, and an entry for each track of 8."""
     return length + struct.calcsize(_HEAD) + (F.floor((length + 7) / 8) + 1) * (struct.calcsize(_ENTRY) + 56)
 
 
-def pack(blob: list[tuple[int, str, list[int], list[float] | None]], length: int, s: int) -> bytes:
-    out = [struct.pack(_HEAD, MAGIC, 1, length, s, len(blob))]
+Entry = tuple[int, str, list[int], list[float] | None]
+
+
+def _entries(blob: list[Entry]) -> list[bytes]:
+    out = []
     for track, pattern, ints, reals in blob:
         reals = [] if reals is None else list(reals)
         out.append(struct.pack(_ENTRY, track, TAGS[pattern], len(ints), len(reals)))
         small = all(0 <= x < 256 for x in ints)
         out.append(b"\1" + bytes(ints) if small else b"\0" + struct.pack(f"<{len(ints)}q", *ints))
         out.append(struct.pack(f"<{len(reals)}d", *reals))
+    return out
+
+
+def _deflated(out: list[bytes]) -> bytes:
     plain = b"".join(out)
     packed = zlib.compress(plain, 9)
     return b"Z" + packed if len(packed) < len(plain) else b"P" + plain
 
 
-def unpack(data: bytes) -> tuple[int, int, list[tuple[int, str, list[int], list[float]]]]:
-    """(length, s, entries); an error for anything that isn't a container."""
-    plain = zlib.decompress(data[1:]) if data[:1] == b"Z" else data[1:]
-    magic, version, length, s, n = struct.unpack_from(_HEAD, plain)
-    if magic != MAGIC or version != 1:
-        raise ValueError("not a track container")
-    names, at, out = {v: k for k, v in TAGS.items()}, struct.calcsize(_HEAD), []
+def pack(blob: list[Entry], length: int, s: int) -> bytes:
+    return _deflated([struct.pack(_HEAD, MAGIC, 1, length, s, len(blob)), *_entries(blob)])
+
+
+def pack_parts(parts: list[tuple[int, int, list[Entry]]], length: int, stride: int, chunk: int) -> bytes:
+    """A container of version 2; parts are (chunk_id, s, entries). The head's track length is 0 where there are more parts than one."""
+    s = parts[0][1] if len(parts) == 1 else 0
+    out = [struct.pack(_HEAD, MAGIC, 2, length, s, sum(len(e) for _, _, e in parts)), struct.pack(_MORE, stride, chunk, len(parts))]
+    for chunk_id, s, entries in parts:
+        out += [struct.pack(_CHUNK, chunk_id, s, len(entries)), *_entries(entries)]
+    return _deflated(out)
+
+
+def _read_entries(plain: bytes, at: int, n: int) -> tuple[int, list[tuple[int, str, list[int], list[float]]]]:
+    names, out = {v: k for k, v in TAGS.items()}, []
     for _ in range(n):
         track, tag, ni, nr = struct.unpack_from(_ENTRY, plain, at)
         at += struct.calcsize(_ENTRY)
@@ -77,34 +94,74 @@ def unpack(data: bytes) -> tuple[int, int, list[tuple[int, str, list[int], list[
         reals = list(struct.unpack_from(f"<{nr}d", plain, at))
         at += 8 * nr
         out.append((track, names[tag], ints, reals))
-    return length, s, out
+    return at, out
+
+
+def unpack_parts(data: bytes) -> tuple[int, int, int, list[tuple[int, int, list[tuple[int, str, list[int], list[float]]]]]]:
+    """(length, stride, chunk, [(chunk_id, s, entries)]) of either version; an error for anything that isn't a container."""
+    plain = zlib.decompress(data[1:]) if data[:1] == b"Z" else data[1:]
+    magic, version, length, s, n = struct.unpack_from(_HEAD, plain)
+    if magic != MAGIC or version not in (1, 2):
+        raise ValueError("not a track container")
+    at = struct.calcsize(_HEAD)
+    if version == 1:
+        return length, 0, 0, [(0, s, _read_entries(plain, at, n)[1])]
+    stride, chunk, count = struct.unpack_from(_MORE, plain, at)
+    at, parts = at + struct.calcsize(_MORE), []
+    for _ in range(count):
+        chunk_id, s, n = struct.unpack_from(_CHUNK, plain, at)
+        at, entries = _read_entries(plain, at + struct.calcsize(_CHUNK), n)
+        parts.append((chunk_id, s, entries))
+    return length, stride, chunk, parts
+
+
+def unpack(data: bytes) -> tuple[int, int, list[tuple[int, str, list[int], list[float]]]]:
+    """(length, s, entries) of a container that is neither turned nor cut to chunks."""
+    length, stride, chunk, parts = unpack_parts(data)
+    if stride or chunk:
+        raise ValueError("a container with a stride or chunks")
+    return length, *parts[0][1:]
 
 
 def to_containers(encodings: DataFrame, lengths: DataFrame) -> DataFrame:
-    """(blob, content) of encodings (blob, s, track, pattern, ints, reals); one container holds one blob, as a file does."""
-    rows = encodings.groupBy("blob", "s").agg(F.sort_array(F.collect_list(F.struct("track", "pattern", "ints", "reals"))).alias("e")).join(lengths, "blob")
+    """(blob, content) of encodings (blob, s, track, pattern, ints, reals); one container holds one blob, as a file does.
+
+    With stride, chunk and chunk_id too (those of ``api.fit_as``) the container tells how to undo them."""
+    entry = F.sort_array(F.collect_list(F.struct("track", "pattern", "ints", "reals"))).alias("e")
+    if "chunk_id" in encodings.columns:
+        parts = encodings.groupBy("blob", "stride", "chunk", "chunk_id", "s").agg(entry)
+        rows = parts.groupBy("blob", "stride", "chunk").agg(F.sort_array(F.collect_list(F.struct("chunk_id", "s", "e"))).alias("parts")).join(lengths, "blob")
+    else:
+        one = F.array(F.struct(F.lit(0).alias("chunk_id"), "s", "e")).alias("parts")
+        rows = encodings.groupBy("blob", "s").agg(entry).select("blob", F.lit(0).alias("stride"), F.lit(0).alias("chunk"), one).join(lengths, "blob")
+
+    def content(parts: list, length: int, stride: int, chunk: int) -> bytes:
+        plain = [(int(p["chunk_id"]), int(p["s"]), [(r["track"], r["pattern"], list(r["ints"]), r["reals"]) for r in p["e"]]) for p in parts]
+        return pack_parts(plain, length, stride, chunk) if stride or chunk else pack(plain[0][2], length, plain[0][1])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            yield pd.DataFrame({"blob": pdf.blob, "content": [pack([(r["track"], r["pattern"], list(r["ints"]), r["reals"]) for r in e], int(n), int(s)) for e, n, s in zip(pdf.e, pdf.length, pdf.s)]})
+            yield pd.DataFrame({"blob": pdf.blob, "content": [content(p, int(n), int(t), int(c)) for p, n, t, c in zip(pdf.parts, pdf.length, pdf.stride, pdf.chunk)]})
 
-    return rows.select("blob", "s", "e", "length").mapInPandas(run, "blob string, content binary")
+    return rows.select("blob", "parts", "length", "stride", "chunk").mapInPandas(run, "blob string, content binary")
 
 
 def from_containers(containers: DataFrame) -> DataFrame:
-    """(blob, length, s, track, pattern, ints, reals)."""
+    """(blob, length, stride, chunk, chunk_id, s, track, pattern, ints, reals)."""
+    names = ["blob", "length", "stride", "chunk", "chunk_id", "s", "track", "pattern", "ints", "reals"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for blob, content in zip(pdf.blob, pdf.content):
-                length, s, entries = unpack(bytes(content))
-                yield pd.DataFrame([(blob, length, s, *e) for e in entries], columns=["blob", "length", "s", "track", "pattern", "ints", "reals"])
+                length, stride, chunk, parts = unpack_parts(bytes(content))
+                for chunk_id, s, entries in parts:
+                    yield pd.DataFrame([(blob, length, stride, chunk, chunk_id, s, *e) for e in entries], columns=names)
 
-    return containers.mapInPandas(run, "blob string, length long, s int, track long, pattern string, ints array<bigint>, reals array<double>")
+    return containers.mapInPandas(run, "blob string, length long, stride int, chunk long, chunk_id long, s int, track long, pattern string, ints array<bigint>, reals array<double>")
 
 
 def container_heads(containers: DataFrame) -> DataFrame:
-    """(blob, length, s, entries) without reading entries."""
+    """(blob, length, s, entries) without reading entries; s is 0 where chunks have their own."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
