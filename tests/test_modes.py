@@ -77,3 +77,8 @@ def test_the_winner_is_a_stride_that_two_fixed_ones_miss(spark, made, brute):
         want = min((size, order[m], s, m) for (b, m, s), size in brute.items() if b == blob)
         assert best[blob] == (want[3], want[2]) and want[2] not in (8, 64, 4096)
         assert advice[blob] == f"{want[3]} {want[2]}"
+
+
+def test_sizes_equal_brute_force_with_the_last_record_filled(made, brute, got):
+    assert any(m == "stride" and len(made[1][blob]) % s for blob, m, s in brute)
+    assert got == brute

@@ -70,10 +70,11 @@ def stride_candidates(scores: DataFrame, lengths: DataFrame) -> DataFrame:
 
 
 def modes(signal: DataFrame, lengths: DataFrame, strides: DataFrame, chunks: list[int] | None = None) -> DataFrame:
-    """(blob, mode, setting, est_size): plain, each stride (10 bytes of header more) and each chunk size that is below the length."""
+    """(blob, mode, setting, est_size): plain, each stride (10 bytes of header more, the last record filled with zeros) and each chunk size that is below the length."""
     s = signal.join(lengths, "blob")
     plain = s.select("blob", F.lit("plain").alias("mode"), F.lit(0).alias("setting"), "pos", "v")
-    turned = s.join(strides, "blob")
+    fill = layout.padding(lengths.join(strides, "blob"), F.col("stride"))
+    turned = s.join(strides, "blob").unionByName(fill, allowMissingColumns=True)
     rows = F.floor((F.col("length") + F.col("stride") - 1) / F.col("stride"))
     by_stride = turned.select("blob", F.lit("stride").alias("mode"), F.col("stride").alias("setting"), (F.pmod("pos", "stride") * rows + F.floor(F.col("pos") / F.col("stride"))).cast("long").alias("pos"), "v")
     by_chunk = s.withColumn("setting", F.explode(F.array(*map(F.lit, chunks or CHUNKS)))).filter("setting < length").select("blob", F.lit("chunk").alias("mode"), "setting", "pos", "v")
