@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,9 +20,12 @@ from trackfit.session import ready
 
 
 def keep_known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents for which no language is found: null texts and texts without a letter."""
+    """Drops documents for which no language is found: null texts and texts without a letter. Where no row teaches a language the same ones go."""
     label, score = (c + "_" * (1 + max(map(len, docs.columns))) for c in ("pred", "score"))  # longer than any name there
-    found = language.identify(docs, language.fit_documents(docs), pred_col=label, score_col=score)
+    langs, prototypes = language.fit_documents(docs)
+    if not langs:  # nothing to tell languages by, so every text with a letter gets the same one
+        langs, prototypes = ["any"], np.zeros((1, language.DIMENSIONS), np.float32)
+    found = language.identify(docs, (langs, prototypes), pred_col=label, score_col=score)
     return found.filter(F.col(label) != language.UNKNOWN).drop(label, score)
 
 

@@ -4,6 +4,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from trackfit.llm import language, suffix_dedup
@@ -34,6 +35,14 @@ def test_language_stage_drops_texts_without_letters_only(spark, odd, store):
     assert got == want
 
 
+def test_language_stage_keeps_texts_where_no_language_is_known(spark, odd, store):
+    docs = odd.withColumn("lang", F.lit(None).cast("string"))
+    assert language.fit_documents(docs)[0] == []
+    got = rows_of(STAGES["language_id"](spark, docs, store.root))
+    assert got == Counter(tuple(r) for r in docs.collect() if any(c.isalpha() for c in r["text"] or ""))
+    assert got
+
+
 def test_exact_stage(spark, odd, store):
     got = STAGES["exact_dedup"](spark, odd, store.root).collect()
     texts = [normal(r["text"]) for r in got]
