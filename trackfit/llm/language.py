@@ -24,7 +24,7 @@ from trackfit.llm.common import table
 DIMENSIONS = 1024
 #: Expected number of learned rows for each language.
 TRAIN_ROWS = 2000
-#: Languages beyond the most frequent so many are not learned; it bounds what reaches the driver.
+#: Languages that are learned, and compared with, at once; it bounds what a task holds. All are learned.
 LANGUAGES = 256
 SEED = 20
 #: Letters share so many slots by a hash; slot 0 is whatever isn't a letter.
@@ -83,14 +83,20 @@ def _chunks(column: pa.Array) -> Iterator[tuple[int, list[str]]]:
 
 
 def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id") -> tuple[list[str], np.ndarray]:
-    """(languages, prototypes of unit length) from rows with a language. Rows with a null id, text or language teach nothing."""
+    """(languages, prototypes of unit length) from rows with a language, every value of it. Rows with a null id, text or language teach nothing."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).filter("id is not null and lang is not null and text is not null")
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()}
+    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     langs = sorted(sizes)
-    if not langs:
-        return [], np.zeros((0, DIMENSIONS), np.float32)
+    blocks = [_prototypes(rows, {k: sizes[k] for k in langs[at : at + LANGUAGES]}) for at in range(0, len(langs), LANGUAGES)]
+    return langs, np.concatenate([np.zeros((0, DIMENSIONS), np.float32), *blocks])
+
+
+def _prototypes(rows: DataFrame, sizes: dict[str, int]) -> np.ndarray:
+    """Prototypes of the languages in ``sizes``, in their order; sizes are their rows."""
+    langs = list(sizes)
     share = F.create_map(*[x for k, n in sizes.items() for x in (F.lit(k), F.lit(TRAIN_ROWS / n))])
-    drawn = rows.filter(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < F.element_at(share, F.col("lang")) * (1 << 20))
+    mine = rows.filter(F.col("lang").isin(langs))
+    drawn = mine.filter(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < F.element_at(share, F.col("lang")) * (1 << 20))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -124,7 +130,7 @@ def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_co
     for row in counted.coalesce(8).mapInArrow(bundle, "lang long, sums array<double>").collect():
         total[row["lang"]] += row["sums"]
     norm = np.linalg.norm(total, axis=1, keepdims=True)
-    return langs, (total / np.where(norm > 0, norm, 1)).astype(np.float32)
+    return (total / np.where(norm > 0, norm, 1)).astype(np.float32)
 
 
 def classify(texts: list[str], prototypes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -138,10 +144,15 @@ def classify(texts: list[str], prototypes: np.ndarray) -> tuple[np.ndarray, np.n
         counts[who[mine], at[mine] - start] = n[mine]
         bundle += counts @ vectors(codes[start : start + BLOCK])
     norm = np.linalg.norm(bundle, axis=1, keepdims=True)
-    cosine = (bundle / np.where(norm > 0, norm, 1)) @ prototypes.T
-    weight = np.exp(SHARPNESS * (cosine - cosine.max(axis=1, keepdims=True)))
-    best = cosine.argmax(axis=1)
-    score = weight.max(axis=1) / weight.sum(axis=1)
+    unit = bundle / np.where(norm > 0, norm, 1)
+    blocks = range(0, len(prototypes), LANGUAGES)
+    best, most = np.zeros(len(texts), np.int64), np.full(len(texts), -np.inf, np.float32)
+    for start in blocks:
+        cosine = unit @ prototypes[start : start + LANGUAGES].T
+        top = cosine.max(axis=1)
+        best = np.where(top > most, start + cosine.argmax(axis=1), best)
+        most = np.maximum(most, top)
+    score = 1 / sum(np.exp(SHARPNESS * (unit @ prototypes[start : start + LANGUAGES].T - most[:, None])).sum(axis=1) for start in blocks)
     has_letter = np.bincount(who, minlength=len(texts)) > 0
     return np.where(has_letter, best, -1), np.where(has_letter, score, 0.0)
 
