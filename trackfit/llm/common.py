@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
+from collections.abc import Iterable
+from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,28 +26,58 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@lru_cache(maxsize=1)
+def _own_dir() -> str:
+    local = tempfile.mkdtemp(prefix="trackfit-")
+    atexit.register(shutil.rmtree, local, ignore_errors=True)
+    return "file://" + local
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir. Unset is allowed on a local master only."""
+    """The folder all executors share: spark.checkpoint.dir. Unset is allowed on a local master only; a folder of this process is used then and deleted at its end."""
     where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        where = "file://" + tempfile.mkdtemp(prefix="trackfit-")
-        spark.conf.set("spark.checkpoint.dir", where)
-    return where.rstrip("/")
+    if where:
+        return where.rstrip("/")
+    if spark.sparkContext.master.split("[")[0] != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return _own_dir()
+
 
+def durable(df: DataFrame, label: str, done: Iterable[DataFrame] = ()) -> DataFrame:
+    """Write ``df`` as Parquet in the shared folder and read it back: it cuts the lineage, and lost executors cost nothing.
 
-def durable(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back: it cuts the lineage, and lost executors cost nothing."""
+    The stored tables ``done`` are deleted then: nothing that is still to run may read them. A table whose writing fails is
+    deleted too. What a returned plan reads stays; whoever owns the folder empties it.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    try:
+        df.write.parquet(path)
+    except BaseException:
+        _delete(spark, path)
+        raise
+    for table_done in done:
+        _delete(spark, table_done._stored_at)
+    stored = spark.read.schema(df.schema).parquet(path)
+    stored._stored_at = path
+    return stored
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
 
+def keyed(docs: DataFrame, columns: dict[str, Column], label: str, rid: str | None = None) -> DataFrame:
+    """(RID, columns) of ``docs``, to be read any number of times: a row has the same key each time.
 
-def with_rid(docs: DataFrame) -> DataFrame:
-    """Add the row key. It follows the place of a row in the stored input, so each scan of the same files gives the same keys."""
-    return docs.withColumn(RID, F.monotonically_increasing_id())
+    ``rid`` names a column of the stored table ``docs`` that holds a different long in each row. Without it rows are numbered
+    and written once, as numbers given by a plan follow the splits of its files, and these the number of cores at the time.
+    """
+    chosen = [c.alias(k) for k, c in columns.items()]
+    if rid is not None:
+        return docs.select(F.col(rid).alias(RID), *chosen)
+    return durable(docs.select(F.monotonically_increasing_id().alias(RID), *chosen), label)
 
 
 def lower_ascii(text: Column) -> Column:
@@ -57,10 +91,11 @@ def bounded(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
 
 
 def wrapped(docs: DataFrame) -> DataFrame:
-    """(RID, row): whole rows as one column, so that no name of theirs can clash with a name added here."""
-    return docs.select(F.monotonically_increasing_id().alias(RID), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    """(RID, row), stored: whole rows as one column, so that no name of theirs can clash with a name added here."""
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]) if docs.columns else F.struct()
+    return keyed(docs, {"row": row}, "rows")
 
 
-def without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
-    """Rows of ``docs`` whose row key is not in the stored table ``dropped``."""
-    return wrapped(docs).join(bounded(dropped.select(RID)), RID, "left_anti").select("row.*")
+def without(rows: DataFrame, dropped: DataFrame) -> DataFrame:
+    """The documents of ``rows`` (RID, row) whose row key is not in the stored table ``dropped``."""
+    return rows.join(bounded(dropped.select(RID)), RID, "left_anti").select("row.*")

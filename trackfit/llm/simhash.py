@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trackfit.llm.common import RID, durable, table, with_rid
+from trackfit.llm.common import RID, durable, table
 from trackfit.llm.components import components
 
 SHINGLE, SEED, MAX_DIFFERENCES = 4, 42, 4
@@ -56,8 +56,8 @@ def fingerprint(text: str, shingle: int = SHINGLE) -> int:
     return int.from_bytes(np.packbits(2 * ones > len(h)).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """(RID, id, fp) of each row; fp is the fingerprint as a signed long."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, rid: str | None = None) -> DataFrame:
+    """(RID, id, fp) of each row; fp is the fingerprint as a signed long. Without a column ``rid`` of keys, rows are numbered by the plan."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -65,7 +65,8 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             found = np.array([fingerprint(t.as_py() or "", shingle) for t in batch.column(2)], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found)], [RID, "id", "fp"])
 
-    return with_rid(docs).select(RID, F.col(id_col).alias("id"), text_col).mapInArrow(run, f"{RID} long, id {kind}, fp long")
+    key = F.monotonically_increasing_id() if rid is None else F.col(rid)
+    return docs.select(key.alias(RID), F.col(id_col).alias("id"), F.col(text_col)).mapInArrow(run, f"{RID} long, id {kind}, fp long")
 
 
 def _signed(x: int) -> int:
@@ -242,14 +243,16 @@ def links(fps: DataFrame, hot: int = HOT) -> DataFrame:
     return dealt.select(*keys, "fp").repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_search, "u long, v long")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, rid: str | None = None) -> DataFrame:
     """One row per document: RID, id_col, fp, component_id, kept.
 
     component_id is the smallest id that links lead to, the row's own included; kept marks the row that has it (of equal
-    ids the first in storage order). Null and empty texts, and texts without words, have fingerprint zero and are linked
-    like any other. Null ids count as largest. Extra columns aren't read; ``docs`` must be a stored table.
+    ids the one numbered first). Null and empty texts, and texts without words, have fingerprint zero and are linked
+    like any other. Texts of any length are read whole; an empty table gives an empty result. Null ids count as largest.
+    Extra columns aren't read. ``rid`` names a column of row keys that ``docs`` holds already; else new ones are stored with
+    the fingerprints.
     """
-    rows = durable(fingerprints(docs, id_col, text_col, shingle), "simhash")
+    rows = durable(fingerprints(docs, id_col, text_col, shingle, rid), "simhash")
     nodes = durable(rows.groupBy("fp").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", RID)).alias("least")), "simhash-nodes")
     roots = components(links(nodes.select("fp")))
     rooted = durable(nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root")), "simhash-roots")
