@@ -159,6 +159,23 @@ def test_repeated_strings_with_many_different_surroundings(spark, store):
         assert {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in suffix_dedup.remove(docs, hot=hot).collect()} == want
 
 
+@pytest.mark.parametrize("window", [30, 97, 200])
+@pytest.mark.parametrize("hot", [3, suffix_dedup.HOT])
+def test_repeated_strings_of_other_sizes(spark, store, window, hot):
+    rng = random.Random(window)
+    noise = lambda n: "".join(rng.choice("abcdefghij ") for _ in range(n))
+    shared = [noise(window + k) for k in (0, 1, 60)]
+    texts = [noise(rng.randint(0, 90)) + rng.choice(shared) + noise(rng.randint(0, 90)) for _ in range(40)] + [noise(window), noise(window - 1), "xy" * window, shared[0][1:], None, ""]
+    docs = store(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4), "sizes")
+    want = {i: x for i, x in enumerate(brute_repeats(texts, window))}
+    assert {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in suffix_dedup.remove(docs, hot=hot, window=window).collect()} == want
+
+
+def test_windows_that_are_too_short_are_refused():
+    with pytest.raises(ValueError):
+        suffix_dedup.Shape(10)
+
+
 def test_repeated_strings_empty(empty):
     assert suffix_dedup.remove(empty).count() == 0
 

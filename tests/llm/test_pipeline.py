@@ -71,7 +71,7 @@ def test_suffix_stage_cuts_passages_and_keeps_documents(spark, odd, store):
     rows = odd.collect()
     assert Counter(r["doc_id"] for r in got) == Counter(r["doc_id"] for r in rows)
     want = Counter()
-    for r, (size, removed, *_) in zip(rows, brute_repeats([r["text"] for r in rows])):
+    for r, (size, removed, *_) in zip(rows, brute_repeats([r["text"] for r in rows], corpus_pipeline.PASSAGE_BYTES)):
         if not removed:
             want[tuple(r)] += 1
     assert want - rows_of_list(got) == Counter()
@@ -103,7 +103,7 @@ def test_run_against_brute_force(spark, tmp_path):
     for (i, _), k in zip(kept, root):
         first[k] = min(first.get(k, i), i)
     kept = [(i, t) for i, t in kept if i in first.values()]
-    cut = brute_repeats([t for _, t in kept])
+    cut = brute_repeats([t for _, t in kept], corpus_pipeline.PASSAGE_BYTES)
     assert sum(x[1] > 0 for x in cut) == 2
     assert {r["doc_id"] for r in got} == {i for i, _ in kept}
     assert {r["doc_id"] for r in got if r["start"] == 0} == {i for i, _ in kept}

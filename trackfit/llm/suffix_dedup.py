@@ -1,10 +1,10 @@
 """Removal of byte strings that occur again, by merged Burrows-Wheeler transforms.
 
-A window is a string of ``WINDOW`` bytes; one that starts anywhere else too is removed. Equal windows must meet in one task,
+A window is a string of so many bytes (``WINDOW`` unless another size is given); one that starts anywhere else too is removed. Equal windows must meet in one task,
 and that without sorting all suffixes of the corpus:
 
-1. Anchors. The anchor of a window is its least 8-byte gram by a hash, among the first ``REACH`` places, leftmost of equals.
-   Equal windows have their anchor at the same offset, so they share the ``CORE`` bytes after it. Consecutive windows with
+1. Anchors. The anchor of a window is its least 8-byte gram by a hash, among the first ``reach`` places, leftmost of equals.
+   Equal windows have their anchor at the same offset, so they share the ``core`` bytes after it. Consecutive windows with
    the same anchor form one member: an anchor, the range of offsets at which its windows begin, and their bytes.
 2. Members whose core occurs once hold no repeated window. Members with equal bytes are one, with a count.
 3. The members of a core stand in columns aligned at the anchor. Shards of them get a column-wise Burrows-Wheeler
@@ -12,8 +12,9 @@ and that without sorting all suffixes of the corpus:
    are merged by refining their interleave column by column, from the transforms alone: the interleave of a column is the
    stable partition of that of the column behind it. Longest common prefixes of neighbours follow along; where they reach
    the window's length, a repeated interval begins.
-4. A core with more than ``HOT`` different members is refined: offsets are halved and members dealt by the longer bytes
-   that the windows of a half have in common, at last by whole windows, which are only counted.
+4. A core with more than ``HOT`` different members is refined: offsets are halved, parts of members that are equal become
+   one, and the rest are dealt by the longer bytes that the windows of a half have in common, at last by whole windows,
+   which are only counted.
 
 Documents are joined by a row key; repeated intervals become byte spans of each document.
 """
@@ -21,7 +22,8 @@ Documents are joined by a row key; repeated intervals become byte spans of each
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -30,10 +32,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from trackfit.llm.common import RID, durable, table, with_rid
+from trackfit.llm.common import RID, durable, keyed, table
 
-WINDOW, REACH, GRAM = 400, 256, 8
-CORE = WINDOW - REACH + 1
+WINDOW, GRAM = 400, 8
 #: Members of a core that one task takes, of a merged collection, and of a shard.
 HOT, COLLECTION, SHARD = 16_384, 16_384, 4_096
 CHUNK_BYTES = 1 << 21
@@ -43,14 +44,29 @@ RUNS = T.ArrayType(T.StructType([T.StructField("lo", T.IntegerType()), T.StructF
 KEYS = ["core", "g1", "g2"]
 
 
-def _signed(x: int) -> int:
-    return x - (1 << 64) if x >> 63 else x
+@dataclass(frozen=True)
+class Shape:
+    """Bytes of a window, places of its anchor, and bytes from the anchor on that equal windows share."""
 
+    window: int = WINDOW
 
-def find_anchors(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def __post_init__(self):
+        if self.core < GRAM:
+            raise ValueError(f"a window of {self.window} bytes is too short")
+
+    @property
+    def reach(self) -> int:
+        return self.window * 16 // 25
+
+    @property
+    def core(self) -> int:
+        return self.window - self.reach + 1
+
+
+def find_anchors(data: np.ndarray, begin: np.ndarray, end: np.ndarray, shape: Shape = Shape()) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(anchor, first window, last window) of the members of texts that lie one after the other in ``data``."""
-    n = len(data)
-    if n < WINDOW:
+    n, window = len(data), shape.window
+    if n < window:
         return (np.zeros(0, np.int64),) * 3
     gram = np.ndarray((n - GRAM + 1,), np.dtype("<u8"), np.ascontiguousarray(data), 0, (1,))
     h = gram * np.uint64(0x9E3779B97F4A7C15)
@@ -58,14 +74,15 @@ def find_anchors(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[
     h *= np.uint64(0xBF58476D1CE4E5B9)
     least = (h & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(h), dtype=np.uint64)
     span = 1
-    while span < REACH:
-        least = np.minimum(least[:-span], least[span:])
-        span *= 2
+    while span < shape.reach:
+        step = min(span, shape.reach - span)
+        least = np.minimum(least[:-step], least[step:])
+        span += step
     ok = np.zeros(n + 1, np.int64)  # windows that lie within one text
-    long = end - begin >= WINDOW
+    long = end - begin >= window
     np.add.at(ok, begin[long], 1)
-    np.add.at(ok, end[long] - WINDOW + 1, -1)
-    s = np.flatnonzero(np.cumsum(ok)[: n - WINDOW + 1])
+    np.add.at(ok, end[long] - window + 1, -1)
+    s = np.flatnonzero(np.cumsum(ok)[: n - window + 1])
     if not len(s):
         return (np.zeros(0, np.int64),) * 3
     anchor = (least[s] & np.uint64(0xFFFFFFFF)).astype(np.int64)
@@ -73,34 +90,46 @@ def find_anchors(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[
     return anchor[first], s[first], s[np.r_[first[1:], len(s)] - 1]
 
 
-def anchors(rows: DataFrame) -> DataFrame:
+def _parts(texts: pa.Array, window: int) -> Iterator[tuple[list[int], list[int], list[bytes]]]:
+    """(rows, places, bytes) of texts, about CHUNK_BYTES at once. A longer text comes in parts; each window lies in one of them."""
+    row, place, raw, size = [], [], [], 0
+    for i, text in enumerate(texts):
+        whole = (text.as_py() or "").encode("utf-8")
+        for at in range(0, max(1, len(whole) - window + 1), CHUNK_BYTES):
+            part = whole[at : at + CHUNK_BYTES + window - 1]
+            if size and size + len(part) > CHUNK_BYTES:
+                yield row, place, raw
+                row, place, raw, size = [], [], [], 0
+            row.append(i)
+            place.append(at)
+            raw.append(part)
+            size += len(part)
+    if row:
+        yield row, place, raw
+
+
+def anchors(rows: DataFrame, shape: Shape = Shape()) -> DataFrame:
     """(RID, anchor, lo, hi, core, g1, g2) of the members of rows (RID, id, text): window offsets lo to hi before the anchor,
     a hash of the core and a 128-bit hash of all bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rid = batch.column(0).to_numpy()
-            texts = [(t.as_py() or "").encode("utf-8") for t in batch.column(2)]
-            at = 0
-            while at < len(texts):
-                upto, size = at, 0
-                while upto < len(texts) and (upto == at or size + len(texts[upto]) <= CHUNK_BYTES):
-                    size += len(texts[upto])
-                    upto += 1
-                raw = b"".join(texts[at:upto])
-                length = np.fromiter(map(len, texts[at:upto]), np.int64, upto - at)
+            for row, place, parts in _parts(batch.column(2), shape.window):
+                raw = b"".join(parts)
+                length = np.fromiter(map(len, parts), np.int64, len(parts))
                 end = np.cumsum(length)
                 begin = end - length
-                anchor, first, last = find_anchors(np.frombuffer(raw, np.uint8), begin, end)
-                doc = np.searchsorted(end, first, side="right")
-                core = np.fromiter((xxhash.xxh64_intdigest(raw[a : a + CORE]) for a in anchor.tolist()), np.uint64, len(anchor))
-                whole = b"".join(xxhash.xxh3_128_digest(raw[a : b + WINDOW]) for a, b in zip(first.tolist(), last.tolist()))
+                anchor, first, last = find_anchors(np.frombuffer(raw, np.uint8), begin, end, shape)
+                part = np.searchsorted(end, first, side="right")
+                core = np.fromiter((xxhash.xxh64_intdigest(raw[a : a + shape.core]) for a in anchor.tolist()), np.uint64, len(anchor))
+                whole = b"".join(xxhash.xxh3_128_digest(raw[a : b + shape.window]) for a, b in zip(first.tolist(), last.tolist()))
                 g = np.frombuffer(whole, "<i8").reshape(-1, 2)
+                at = anchor - begin[part] + np.array(place, np.int64)[part]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(rid[at:upto][doc]), pa.array((anchor - begin[doc]).astype(np.int32)), pa.array((anchor - last).astype(np.int32)), pa.array((anchor - first).astype(np.int32)), pa.array(core.view(np.int64)), pa.array(g[:, 0]), pa.array(g[:, 1])],
+                    [pa.array(rid[np.array(row)[part]]), pa.array(at.astype(np.int32)), pa.array((anchor - last).astype(np.int32)), pa.array((anchor - first).astype(np.int32)), pa.array(core.view(np.int64)), pa.array(g[:, 0]), pa.array(g[:, 1])],
                     [RID, "anchor", "lo", "hi", *KEYS],
                 )
-                at = upto
 
     return rows.mapInArrow(run, f"{RID} long, anchor int, lo int, hi int, core long, g1 long, g2 long")
 
@@ -145,20 +174,21 @@ def merge(shards: list[np.ndarray], window: int) -> Iterator[tuple[int, np.ndarr
         yield c, member, long | np.append(long[1:], False)
 
 
-def repeated_offsets(texts: list[bytes], lo: np.ndarray, hi: np.ndarray, count: np.ndarray, shard: int = SHARD) -> np.ndarray:
-    """(members x REACH) booleans: the window that begins so far before the anchor occurs again. Bytes run from hi before the
+def repeated_offsets(texts: list[bytes], lo: np.ndarray, hi: np.ndarray, count: np.ndarray, shard: int = SHARD, shape: Shape = Shape()) -> np.ndarray:
+    """(members x reach) booleans: the window that begins so far before the anchor occurs again. Bytes run from hi before the
     anchor to the end of the window at lo."""
-    n, width = len(texts), REACH - 1 + WINDOW
+    n, reach = len(texts), shape.reach
+    width = reach - 1 + shape.window
     matrix = np.full((n, width), NOTHING, np.uint8)
     for i, t in enumerate(texts):
-        at = REACH - 1 - hi[i]
+        at = reach - 1 - hi[i]
         matrix[i, at : at + len(t)] = np.frombuffer(t, np.uint8)
     columns = np.ascontiguousarray(matrix.T)
-    found = np.zeros((REACH, n), bool)
-    for c, member, again in merge([transform(columns[:, a : a + shard]) for a in range(0, n, shard)], WINDOW):
-        if c < REACH:
-            found[REACH - 1 - c, member] = again
-    offsets = np.arange(REACH)[:, None]
+    found = np.zeros((reach, n), bool)
+    for c, member, again in merge([transform(columns[:, a : a + shard]) for a in range(0, n, shard)], shape.window):
+        if c < reach:
+            found[reach - 1 - c, member] = again
+    offsets = np.arange(reach)[:, None]
     return ((found | (count > 1)) & (offsets >= lo) & (offsets <= hi)).T
 
 
@@ -169,74 +199,88 @@ def _runs(found: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return row, first, np.nonzero(edge == -1)[1] - 1
 
 
-def _merge_members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _merge_members(shape: Shape) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Repeated offsets of the members of a partition, sorted by core; whole cores are merged, many at once."""
-    held: list[pa.RecordBatch] = []
-    n = 0
 
     def flush(t: pa.Table) -> pa.RecordBatch:
         column = lambda name: t.column(name).to_numpy()
-        found = repeated_offsets(t.column("bytes").to_pylist(), column("lo"), column("hi"), column("n"))
+        found = repeated_offsets(t.column("bytes").to_pylist(), column("lo"), column("hi"), column("n"), shape=shape)
         row, first, last = _runs(found)
         starts = np.searchsorted(row, np.arange(len(found) + 1)).astype(np.int32)
         runs = pa.ListArray.from_arrays(pa.array(starts), pa.StructArray.from_arrays([pa.array(first.astype(np.int32)), pa.array(last.astype(np.int32))], ["lo", "hi"]))
         out = pa.RecordBatch.from_arrays([*(t.column(k).combine_chunks() for k in KEYS), runs], [*KEYS, "runs"])
         return out.filter(pa.array(np.diff(starts) > 0))
 
-    for batch in batches:
-        for at in range(0, batch.num_rows, 4096):
-            held.append(batch.slice(at, 4096))
-            n += held[-1].num_rows
-            if n < COLLECTION:
-                continue
-            t = pa.Table.from_batches(held).combine_chunks()
-            key = t.column("key").to_numpy()
-            cut = int(np.searchsorted(key, key[-1]))  # where the last core begins
-            if cut:
-                yield flush(t.slice(0, cut))
-            held = t.slice(cut).to_batches()
-            n -= cut
-    if n:
-        yield flush(pa.Table.from_batches(held).combine_chunks())
-
-
-def _halve(members: DataFrame, hot: int) -> DataFrame:
-    """Runs of members (KEYS, n, lo, hi, bytes) of cores that are too many for a task, by halves of the offsets."""
-    now = durable(members.select(*KEYS, "n", "lo", "hi", "bytes", F.lit(0).alias("from"), F.lit(REACH - 1).alias("to"), F.col("core").alias("key")), "suffix-hot")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        n = 0
+        for batch in batches:
+            for at in range(0, batch.num_rows, 4096):
+                held.append(batch.slice(at, 4096))
+                n += held[-1].num_rows
+                if n < COLLECTION:
+                    continue
+                t = pa.Table.from_batches(held).combine_chunks()
+                key = t.column("key").to_numpy()
+                cut = int(np.searchsorted(key, key[-1]))  # where the last core begins
+                if cut:
+                    yield flush(t.slice(0, cut))
+                held = t.slice(cut).to_batches()
+                n -= cut
+        if n:
+            yield flush(pa.Table.from_batches(held).combine_chunks())
+
+    return run
+
+
+def _halve(members: DataFrame, hot: int, shape: Shape) -> DataFrame:
+    """Runs of members (KEYS, n, lo, hi, bytes) of cores that are too many for a task, by halves of the offsets.
+
+    The parts of members that are equal are one kind, with a count: what very many members share is carried once, and only
+    a narrow table (``owner``) says whose part it is.
+    """
+    of = [f"of_{k}" for k in KEYS]
+    parents = [F.col(k).alias(o) for k, o in zip(KEYS, of)]
+    now = durable(members.select(*KEYS, "n", "lo", "hi", "bytes", F.lit(0).alias("from"), F.lit(shape.reach - 1).alias("to")), "suffix-hot")
+    owner = None
     done = []
-    while True:
+    while not now.isEmpty():
         half = F.expr("inline(array(struct(`from`, int((`from` + `to`) div 2) as `to`), struct(int((`from` + `to`) div 2 + 1) as `from`, `to`)))")
-        cut = now.select(*KEYS, "n", F.col("lo").alias("l"), F.col("hi").alias("h"), "bytes", half).filter("l <= `to` and h >= `from`")
+        cut = now.select(*parents, "n", F.col("lo").alias("l"), F.col("hi").alias("h"), "bytes", half).filter("l <= `to` and h >= `from`")
         lo, hi = F.greatest("l", "from"), F.least("h", "to")
-        trimmed = F.substring("bytes", F.col("h") - hi + 1, hi - lo + WINDOW)
-        part = cut.select(*KEYS, "n", lo.alias("lo"), hi.alias("hi"), trimmed.alias("bytes"), "from", "to")
+        trimmed = F.substring("bytes", F.col("h") - hi + 1, hi - lo + shape.window)
+        part = cut.select(*of, "n", lo.alias("lo"), hi.alias("hi"), trimmed.alias("bytes"), "from", "to")
         # What every window of a half has in common: from its least offset to the end of the window at its largest.
-        part = part.withColumn("key", F.xxhash64("from", F.substring("bytes", F.col("hi") - F.col("from") + 1, F.col("from") - F.col("to") + WINDOW)))
-        part = durable(part, "suffix-hot")
-        crowd = part.groupBy("from", "key").agg(F.count(F.lit(1)).alias("m"))
-        if part.filter("`from` < `to`").isEmpty():
-            # Whole windows: equal bytes are equal windows.
-            twice = part.groupBy("from", "bytes").agg(F.sum("n").alias("m")).filter("m > 1")
-            done.append(part.join(twice.withColumnRenamed("from", "f").withColumnRenamed("bytes", "w"), (F.col("from") == F.col("f")) & (F.col("bytes") == F.col("w"))).select(*KEYS, F.array(F.struct("lo", "hi")).alias("runs")))
-            break
-        sized = part.join(crowd, ["from", "key"])
-        cool = sized.filter((F.col("m") <= hot) & ((F.col("m") > 1) | (F.col("n") > 1)))
-        done.append(_search(cool.select(*KEYS, "n", "lo", "hi", "bytes", "key")))
-        now = durable(sized.filter(F.col("m") > hot).drop("m"), "suffix-hot")
-        if now.isEmpty():
-            break
+        common = F.substring("bytes", F.col("hi") - F.col("from") + 1, F.col("from") - F.col("to") + shape.window)
+        part = part.withColumns({"core": F.xxhash64("from", common), "g1": F.xxhash64("lo", "hi", "bytes"), "g2": F.xxhash64("bytes", "hi", "lo", F.lit(1))})
+        part = durable(part, "suffix-parts", done=[now])
+        kinds = part.groupBy(*KEYS).agg(F.sum("n").alias("n"), *[F.first(c).alias(c) for c in ("lo", "hi", "bytes", "from", "to")])
+        kinds = durable(kinds, "suffix-part-kinds")
+        crowd = durable(kinds.groupBy("core").agg(F.count(F.lit(1)).alias("m")), "suffix-part-counts")
+        sized = durable(kinds.join(crowd, "core"), "suffix-part-sizes", done=[kinds, crowd])
+        # Of one window, or alone with what its windows share: a repetition if it is found more than once.
+        whole = sized.filter("n > 1 and (m = 1 or `from` = `to`)").select(*KEYS, F.array(F.struct("lo", "hi")).alias("runs"))
+        cool = sized.filter((F.col("m") > 1) & (F.col("m") <= hot) & (F.col("from") < F.col("to")))
+        runs = durable(whole.unionByName(_search(cool.withColumn("key", F.col("core")), shape)), "suffix-part-runs")
+        now = durable(sized.filter((F.col("m") > hot) & (F.col("from") < F.col("to"))).drop("m"), "suffix-hot", done=[sized])
+        links = part.select(*of, *KEYS)
+        if owner is not None:
+            links = owner.join(links.withColumnsRenamed(dict(zip(of, (f"via_{k}" for k in KEYS)))), [F.col(f"in_{k}") == F.col(f"via_{k}") for k in KEYS]).select(*of, *KEYS)
+        links = durable(links, "suffix-links", done=[part] if owner is None else [part, owner])
+        done.append(durable(links.join(runs, KEYS).select(*[F.col(o).alias(k) for k, o in zip(KEYS, of)], "runs"), "suffix-hot-runs", done=[runs]))
+        owner = durable(links.join(now.select(*KEYS), KEYS, "left_semi").withColumnsRenamed({k: f"in_{k}" for k in KEYS}), "suffix-owners", done=[links])
     out = done[0]
     for d in done[1:]:
         out = out.unionByName(d)
     return out
 
 
-def _search(members: DataFrame) -> DataFrame:
+def _search(members: DataFrame, shape: Shape) -> DataFrame:
     order = ["key", *KEYS, "n", "lo", "hi", "bytes"]
-    return members.select(order).repartition("key").sortWithinPartitions("key").mapInArrow(_merge_members, T.StructType([*(T.StructField(k, T.LongType()) for k in KEYS), T.StructField("runs", RUNS)]))
+    return members.select(order).repartition("key").sortWithinPartitions("key").mapInArrow(_merge_members(shape), T.StructType([*(T.StructField(k, T.LongType()) for k in KEYS), T.StructField("runs", RUNS)]))
 
 
-def _with_bytes(rows: DataFrame, members: DataFrame) -> DataFrame:
+def _with_bytes(rows: DataFrame, members: DataFrame, shape: Shape) -> DataFrame:
     """Bytes of the members (KEYS, n, at: RID, anchor, lo, hi) from the texts."""
     wanted = members.groupBy(F.col(f"at.{RID}").alias(RID)).agg(F.collect_list(F.struct(*KEYS, "n", "at.anchor", "at.lo", "at.hi")).alias("wanted"))
 
@@ -247,33 +291,31 @@ def _with_bytes(rows: DataFrame, members: DataFrame) -> DataFrame:
                 text = (batch.column(2)[i].as_py() or "").encode("utf-8")
                 own = batch.column(3)[i].values
                 field = {k: own.field(k) for k in [*names, "anchor"]}
-                cut = [text[a - h : a - low + WINDOW] for a, low, h in zip(field["anchor"].to_pylist(), field["lo"].to_pylist(), field["hi"].to_pylist())]
+                cut = [text[a - h : a - low + shape.window] for a, low, h in zip(field["anchor"].to_pylist(), field["lo"].to_pylist(), field["hi"].to_pylist())]
                 yield pa.RecordBatch.from_arrays([*(field[k] for k in names), pa.array(cut, pa.binary())], [*names, "bytes"])
 
     joined = rows.join(wanted, RID).select(RID, "id", "text", "wanted")
     return joined.mapInArrow(run, "core long, g1 long, g2 long, n long, lo int, hi int, bytes binary")
 
 
-def spans(rows: DataFrame, hot: int = HOT) -> DataFrame:
-    """(RID, spans): for each row with a repeated window, the byte ranges [start, stop) that such windows cover, as found."""
-    found = durable(anchors(rows), "suffix-anchors")
+def spans(rows: DataFrame, hot: int = HOT, shape: Shape = Shape()) -> DataFrame:
+    """(RID, spans) for each row of the stored table (RID, id, text) with a repeated window: the byte ranges [start, stop) that such windows cover, as found."""
+    found = durable(anchors(rows, shape), "suffix-anchors")
     # Joins take stored tables, so that none shares a stage with an aggregate and a core with very many members can be split.
     again = durable(found.groupBy("core").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("core"), "suffix-cores")
-    repeated = durable(found.join(again, "core"), "suffix-repeated")
+    repeated = durable(found.join(again, "core"), "suffix-repeated", done=[found, again])
     members = repeated.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(RID, "anchor", "lo", "hi")).alias("at"))
     members = durable(members, "suffix-members")
     kinds = durable(members.groupBy("core").agg(F.count(F.lit(1)).alias("kinds")), "suffix-counts")
-    sized = durable(members.join(kinds, "core"), "suffix-kinds")
+    sized = durable(members.join(kinds, "core"), "suffix-kinds", done=[members, kinds])
     # One kind of member, found more than once: the interval is whole, there is nothing to sort.
     whole = sized.filter("kinds = 1").select(*KEYS, F.array(F.struct("at.lo", "at.hi")).alias("runs"))
-    parts = [whole, _search(_with_bytes(rows, sized.filter((F.col("kinds") > 1) & (F.col("kinds") <= hot))).withColumn("key", F.col("core")))]
+    runs = whole.unionByName(_search(_with_bytes(rows, sized.filter((F.col("kinds") > 1) & (F.col("kinds") <= hot)), shape).withColumn("key", F.col("core")), shape))
     crowded = sized.filter(F.col("kinds") > hot)
     if not crowded.isEmpty():
-        parts.append(_halve(_with_bytes(rows, crowded), hot))
-    runs = parts[0]
-    for p in parts[1:]:
-        runs = runs.unionByName(p)
-    ranges = F.transform("runs", lambda r: F.struct((F.col("anchor") - r["hi"]).alias("start"), (F.col("anchor") - r["lo"] + WINDOW).alias("stop")))
+        runs = runs.unionByName(_halve(_with_bytes(rows, crowded, shape), hot, shape))
+    runs = durable(runs, "suffix-runs", done=[sized])
+    ranges = F.transform("runs", lambda r: F.struct((F.col("anchor") - r["hi"]).alias("start"), (F.col("anchor") - r["lo"] + shape.window).alias("stop")))
     return repeated.join(runs, KEYS).select(RID, ranges.alias("spans")).groupBy(RID).agg(F.flatten(F.collect_list("spans")).alias("spans"))
 
 
@@ -285,15 +327,18 @@ def join_spans(start: np.ndarray, stop: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(start[head].tolist(), stop[np.r_[head[1:], len(stop)] - 1].tolist())) if len(start) else []
 
 
-def remove(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT, with_text: bool = False) -> DataFrame:
+def remove(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT, with_text: bool = False, window: int = WINDOW, rid: str | None = None) -> DataFrame:
     """One row per document: RID, id_col, n_bytes, n_removed, n_spans, kept_sha256, and with ``with_text`` the spans and the text
-    without them (a character goes only if all its bytes do).
+    without them (a character goes only if all its bytes do). Strings of ``window`` bytes are compared.
 
-    A null text is empty; texts shorter than a window keep all; repeated rows are each other's repetition; null and
-    repeated ids are carried; an empty table gives an empty result. Extra columns aren't read; ``docs`` must be a stored table.
+    A null text is empty; texts shorter than a window keep all, and long ones are read whole, in overlapping parts; repeated
+    rows are each other's repetition; null and repeated ids are carried; an empty table gives an empty result. Extra columns
+    aren't read. ``rid`` names a column of row keys that ``docs`` holds already; else ids and texts are written once with
+    new keys, as texts are joined with what is found in them.
     """
-    rows = with_rid(docs).select(RID, F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    joined = rows.join(spans(rows, hot), RID, "left").select(RID, "id", "text", "spans")
+    shape = Shape(window)
+    rows = keyed(docs, {"id": F.col(id_col), "text": F.col(text_col)}, "suffix-rows", rid)
+    joined = rows.join(spans(rows, hot, shape), RID, "left").select(RID, "id", "text", "spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
