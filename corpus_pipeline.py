@@ -18,6 +18,9 @@ from trackfit.llm import exact_dedup, language, packing, simhash, suffix_dedup
 from trackfit.llm.common import RID, durable, table, without, wrapped
 from trackfit.session import ready
 
+#: Bytes of a string that the suffix stage takes out where it occurs again: about 50 words, at four bytes a word with its space.
+PASSAGE_BYTES = 200
+
 
 def keep_known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents for which no language is found: null texts and texts without a letter. Where no row teaches a language the same ones go."""
@@ -31,20 +34,23 @@ def keep_known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents with equal text (but for the case of A-Z) the one with the largest doc_id stays."""
-    dropped = durable(exact_dedup.exact_dedup(docs).filter(~F.col("kept")).select(RID), "drop-exact")
-    return without(docs, dropped)
+    rows = wrapped(docs)
+    found = exact_dedup.exact_dedup(rows.select(RID, "row.doc_id", "row.text"), rid=RID)
+    return without(rows, durable(found.filter(~F.col("kept")).select(RID), "drop-exact"))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents that SimHash links (op1's rule: 4-word shingles, 4 of 64 bits) the one with the smallest doc_id stays. Most copies of Jaccard similarity under about 0.95 are not linked."""
-    dropped = durable(simhash.near_duplicates(docs).filter(~F.col("kept")).select(RID), "drop-near")
-    return without(docs, dropped)
+    rows = wrapped(docs)
+    found = simhash.near_duplicates(rows.select(RID, "row.doc_id", "row.text"), rid=RID)
+    return without(rows, durable(found.filter(~F.col("kept")).select(RID), "drop-near"))
 
 
 def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Takes strings of 400 bytes that occur elsewhere out of the texts, in whole characters; n_chars follows. No document goes."""
-    cut = suffix_dedup.remove(docs, with_text=True).filter("n_removed > 0").select(RID, "kept_text")
-    joined = wrapped(docs).join(durable(cut, "cut-texts"), RID, "left")
+    """Takes strings of ``PASSAGE_BYTES`` that occur elsewhere out of the texts, in whole characters; n_chars follows. No document goes."""
+    rows = wrapped(docs)
+    cut = suffix_dedup.remove(rows.select(RID, "row.doc_id", "row.text"), with_text=True, window=PASSAGE_BYTES, rid=RID).filter("n_removed > 0")
+    joined = rows.join(durable(cut.select(RID, "kept_text"), "cut-texts"), RID, "left")
     changed = F.col("kept_text").isNotNull()
     row = F.col("row").withField("text", F.when(changed, F.col("kept_text")).otherwise(F.col("row.text")))
     if "n_chars" in docs.columns:
