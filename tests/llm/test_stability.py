@@ -102,6 +102,33 @@ def test_stages(spark, many_files, unsettled, name):
         assert ascii_rows and Counter(ascii_rows) - Counter((r["doc_id"], r["h"]) for r in sha) == Counter()
 
 
+@pytest.mark.parametrize("shape", ["scan", "narrow", "join", "values", "exploded", "drawn"])
+def test_row_keys_are_unique_and_stay(spark, many_files, unsettled, shape):
+    docs = {
+        "scan": lambda: many_files,
+        "narrow": lambda: many_files.filter("doc_id > 3").select("doc_id", F.upper("text").alias("text")),
+        "join": lambda: many_files.join(spark.range(3), F.lit(True)).select("doc_id", "text"),
+        "values": lambda: spark.createDataFrame(odd_rows(), DOCS),
+        "exploded": lambda: many_files.select("doc_id", "text", F.explode(F.array(F.lit(1), F.lit(2)))),
+        "drawn": lambda: many_files.filter(F.rand(3) < 0.5),
+    }[shape]()
+    assert (common.stored_key(docs) is not None) == (shape in ("scan", "narrow"))
+    rows = common.keyed(docs, {"t": F.col("text"), "i": F.col("doc_id")}, "keys")
+    seen = []
+    for _ in range(3):
+        unsettled()
+        seen.append({r[common.RID]: (r["i"], r["t"]) for r in rows.collect()})
+    assert seen[0] == seen[1] == seen[2] and len(seen[0]) == rows.count() and None not in seen[0]
+
+
+def test_row_keys_of_files_whose_hashes_meet(many_files, monkeypatch):
+    monkeypatch.setattr(common, "FILE_BITS", 4)  # 40 files, 16 values
+    assert common.stored_key(many_files) is None
+    monkeypatch.setattr(common, "FILE_BITS", 40)
+    monkeypatch.setattr(common, "PLACE_BITS", 0)
+    assert common.stored_key(many_files) is None
+
+
 def test_intermediate_tables_are_deleted(many_files, tmp_path, monkeypatch):
     monkeypatch.setattr(common, "shared_dir", lambda spark: f"file://{tmp_path}")
     suffix_dedup.remove(many_files, hot=2).count()

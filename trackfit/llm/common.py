@@ -11,6 +11,7 @@ from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.utils import AnalysisException
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
@@ -52,7 +53,7 @@ def durable(df: DataFrame, label: str, done: Iterable[DataFrame] = ()) -> DataFr
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     try:
-        df.write.parquet(path)
+        df.write.option("compression", "zstd").parquet(path)
     except BaseException:
         _delete(spark, path)
         raise
@@ -68,15 +69,50 @@ def _delete(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+#: Bits of a row key that hold the place of the row within its file; the others hold a hash of the file's path.
+PLACE_BITS, FILE_BITS, SALTS = 23, 40, 8
+#: Plans that give each row of one file scan at most once.
+_NARROW = {"Project", "Filter", "SubqueryAlias", "LogicalRelation"}
+
+
+def _file_key(salt: int) -> Column:
+    return F.xxhash64("_metadata.file_path", F.lit(salt)).bitwiseAND((1 << FILE_BITS) - 1)
+
+
+def stored_key(docs: DataFrame) -> Column | None:
+    """A long that names a row by its file and its place there, which no splitting of files changes. None if ``docs`` isn't
+    a scan of files, or their paths or sizes don't allow it: a scan of no column checks that hashes of paths differ."""
+    plan = docs._jdf.queryExecution().analyzed()
+    while True:
+        if plan.nodeName() not in _NARROW or not plan.deterministic():
+            return None
+        if plan.children().isEmpty():
+            break
+        plan = plan.children().head()
+    try:
+        files = docs.select("_metadata.file_path", "_metadata.row_index", *[_file_key(k).alias(f"h{k}") for k in range(SALTS)])
+    except AnalysisException:  # a source without this metadata
+        return None
+    keys = [f"h{k}" for k in range(SALTS)]
+    files = files.groupBy("file_path", *keys).agg(F.max("row_index").alias("last"))
+    seen = files.agg(F.count(F.lit(1)).alias("n"), F.max("last").alias("last"), *[F.count_distinct(k).alias(k) for k in keys]).first()
+    if (seen["last"] or 0) >> PLACE_BITS:
+        return None
+    salt = next((k for k in range(SALTS) if seen[f"h{k}"] == seen["n"]), None)
+    return None if salt is None else F.shiftleft(_file_key(salt), PLACE_BITS) + F.col("_metadata.row_index")
+
+
 def keyed(docs: DataFrame, columns: dict[str, Column], label: str, rid: str | None = None) -> DataFrame:
     """(RID, columns) of ``docs``, to be read any number of times: a row has the same key each time.
 
-    ``rid`` names a column of the stored table ``docs`` that holds a different long in each row. Without it rows are numbered
-    and written once, as numbers given by a plan follow the splits of its files, and these the number of cores at the time.
+    ``rid`` names a column of the stored table ``docs`` that holds a different long in each row. Without it the key is the
+    row's place in its file. A plan that isn't a scan of files is numbered and written once: numbers given by a plan follow
+    the splits of its files, and these the number of cores at the time.
     """
     chosen = [c.alias(k) for k, c in columns.items()]
-    if rid is not None:
-        return docs.select(F.col(rid).alias(RID), *chosen)
+    key = F.col(rid) if rid is not None else stored_key(docs)
+    if key is not None:
+        return docs.select(key.alias(RID), *chosen)
     return durable(docs.select(F.monotonically_increasing_id().alias(RID), *chosen), label)
 
 
@@ -91,7 +127,7 @@ def bounded(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
 
 
 def wrapped(docs: DataFrame) -> DataFrame:
-    """(RID, row), stored: whole rows as one column, so that no name of theirs can clash with a name added here."""
+    """(RID, row): whole rows as one column, so that no name of theirs can clash with a name added here."""
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]) if docs.columns else F.struct()
     return keyed(docs, {"row": row}, "rows")
 

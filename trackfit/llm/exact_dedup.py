@@ -24,8 +24,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Texts are equal when identical after lower-casing A-Z; a null text equals the empty text. The row with the largest
     id stays; a null id counts as smallest, and of rows with the same id and text the last one numbered stays. An
-    empty table gives an empty result. Texts of any length are read whole. Extra columns of ``docs`` are not read. ``rid`` names a column of row keys that ``docs``
-    holds already; else ids and texts are written once with new keys, as each level reads them again.
+    empty table gives an empty result. Texts of any length are read whole. Extra columns of ``docs`` are not read. ``rid`` names a column of row keys that
+    ``docs`` holds already; else a row's key is its place in its file, or rows that are in no file are written once.
     """
     rows = keyed(docs, {"_id": F.col(id_col), "_text": F.coalesce(F.col(text_col), F.lit(""))}, "dedup-rows", rid).select(
         RID, "_id", F.octet_length("_text").alias("_len"), F.xxhash64(lower_ascii(F.substring("_text", 1, PREFIX))).alias("_prefix"), "_text"

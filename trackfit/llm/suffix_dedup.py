@@ -333,8 +333,8 @@ def remove(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot:
 
     A null text is empty; texts shorter than a window keep all, and long ones are read whole, in overlapping parts; repeated
     rows are each other's repetition; null and repeated ids are carried; an empty table gives an empty result. Extra columns
-    aren't read. ``rid`` names a column of row keys that ``docs`` holds already; else ids and texts are written once with
-    new keys, as texts are joined with what is found in them.
+    aren't read. ``rid`` names a column of row keys that ``docs`` holds already; else a row's key is its place in its file, or
+    rows that are in no file are written once, as texts are joined with what is found in them.
     """
     shape = Shape(window)
     rows = keyed(docs, {"id": F.col(id_col), "text": F.col(text_col)}, "suffix-rows", rid)
