@@ -24,9 +24,9 @@ def components(edges: DataFrame) -> DataFrame:
         before = mark
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = durable(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "stars")
-        large = durable(both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct(), "edges")
+        large = durable(both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct(), "edges", done=[least])
         # small star: every u now points to smaller nodes only
         low = durable(large.groupBy("u").agg(F.min("v").alias("m")), "stars")
         small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("v").alias("a"), F.col("m").alias("b")), F.struct(F.col("u").alias("a"), F.col("m").alias("b")))).alias("e"))
-        now = durable(small.select(F.col("e.a").alias("u"), F.col("e.b").alias("v")).filter("u <> v").distinct(), "edges")
+        now = durable(small.select(F.col("e.a").alias("u"), F.col("e.b").alias("v")).filter("u <> v").distinct(), "edges", done=[now, large, low])
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).union(now.select(F.col("v"), F.col("v")).distinct())

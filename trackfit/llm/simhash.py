@@ -3,7 +3,8 @@
 Fingerprints of word shingles are linked when at most ``MAX_DIFFERENCES`` bits differ. Equal fingerprints are one node from
 the start. For a distributed search the 64 bits are cut into six blocks: two fingerprints within four bits agree in two
 blocks at least, so each fingerprint is dealt to the 15 masked patterns of two blocks. Patterns that hold too many are
-refined by a third mask out of five over the bits left, at last by pairs of chunks, so that no task holds a hot pattern.
+refined by a mask of one part in five of the bits left, again and again, or dealt to pairs of chunks where that takes fewer
+copies, so that no task holds a hot pattern.
 
 Within a pattern, fingerprints are sorted by Gray rank and form a tree: a node keeps the bits that all below it share.
 Pairs of nodes descend together; the differences of bits that both newly fix are added to those known above, a pair is
@@ -30,8 +31,6 @@ BLOCKS = (11, 11, 11, 11, 10, 10)
 FANOUT = 8
 #: Fingerprints of a pattern that one task takes; more are refined.
 HOT = 16_384
-#: Rounds of refinement before chunks are paired.
-ROUNDS = 2
 #: Node pairs that descend at once.
 FRONT = 1 << 17
 
@@ -214,29 +213,35 @@ def _search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def links(fps: DataFrame, hot: int = HOT) -> DataFrame:
-    """A forest (u, v) that connects distinct fingerprints (column fp) just as their links do."""
+    """A forest (u, v) that connects distinct fingerprints (column fp) just as their links do.
+
+    A pattern with more than ``hot`` fingerprints is either dealt to pairs of chunks, or refined where a finer mask means fewer
+    copies; a pattern of few free bits can't hold many, so refining ends.
+    """
     keys = ["mask", "value", "part"]
     deal = lambda masks: F.explode(masks).alias("mask")
     dealt = fps.select("fp", deal(F.array(*[F.lit(_signed(m)) for m in block_masks()]))).withColumn("value", F.col("fp").bitwiseAND(F.col("mask")))
-    parts, masks = [], block_masks()
-    for level in range(ROUNDS + 1):
+    parts = []
+    while True:
         crowded = durable(dealt.groupBy("mask", "value").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > hot), "simhash-hot")
-        if crowded.isEmpty():
+        masks = [r["mask"] % 2**64 for r in crowded.select("mask").distinct().collect()]  # of the few in use
+        if not masks:
             parts.append(dealt.withColumn("part", F.lit(0).cast("long")))
             break
         parts.append(dealt.join(crowded, ["mask", "value"], "left_anti").withColumn("part", F.lit(0).cast("long")))
+        refined = {_signed(m): [_signed(x) for x in finer(m)] for m in masks if len(finer(m)) > MAX_DIFFERENCES}
+        chunks = F.ceil(F.col("n") * 2 / hot)
+        paired = (chunks <= MAX_DIFFERENCES + 1) | ~F.col("mask").isin(*refined) if refined else F.lit(True)
         hotter = dealt.join(crowded, ["mask", "value"])
-        if level < ROUNDS:
-            refined = {m: finer(m) for m in masks}
-            masks = sorted({x for xs in refined.values() for x in xs})
-            choice = F.create_map(*[x for m, xs in refined.items() for x in (F.lit(_signed(m)), F.array(*[F.lit(_signed(y)) for y in xs]))])
-            # A mask may come from several; a pattern is one table of fingerprints whichever way they came.
-            dealt = hotter.select("fp", deal(F.element_at(choice, F.col("mask")))).withColumn("value", F.col("fp").bitwiseAND(F.col("mask"))).distinct()
-        else:
-            n = F.ceil(F.col("n") * 2 / hot)
-            mine = F.pmod(F.xxhash64("fp"), n)
-            pairs = F.transform(F.sequence(F.lit(0).cast("long"), n - 1), lambda j: F.least(mine, j) * n + F.greatest(mine, j) + 1)
-            parts.append(hotter.select("fp", "mask", "value", F.explode(pairs).alias("part")))
+        mine = F.pmod(F.xxhash64("fp"), chunks)
+        pairs = F.transform(F.sequence(F.lit(0).cast("long"), chunks - 1), lambda j: F.least(mine, j) * chunks + F.greatest(mine, j) + 1)
+        parts.append(hotter.filter(paired).select("fp", "mask", "value", F.explode(pairs).alias("part")))
+        if not refined:
+            break
+        choice = F.create_map(*[x for m, finest in refined.items() for x in (F.lit(m), F.array(*map(F.lit, finest)))])
+        # A mask may come from several; a pattern is one table of fingerprints whichever way they came.
+        dealt = hotter.filter(~paired).select("fp", deal(F.element_at(choice, F.col("mask")))).withColumn("value", F.col("fp").bitwiseAND(F.col("mask"))).distinct()
+        dealt = durable(dealt, "simhash-finer")
     dealt = parts[0]
     for p in parts[1:]:
         dealt = dealt.unionByName(p)
@@ -255,10 +260,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = durable(fingerprints(docs, id_col, text_col, shingle, rid), "simhash")
     nodes = durable(rows.groupBy("fp").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", RID)).alias("least")), "simhash-nodes")
     roots = components(links(nodes.select("fp")))
-    rooted = durable(nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root")), "simhash-roots")
+    rooted = durable(nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root")), "simhash-roots", done=[nodes])
     # Stored, so that the join with a root of very many fingerprints shares no stage with the aggregate and can be split.
     heads = durable(rooted.groupBy("root").agg(F.min("least").alias("head")), "simhash-heads")
-    of = durable(rooted.join(heads, "root").select("fp", "head"), "simhash-components")
+    of = durable(rooted.join(heads, "root").select("fp", "head"), "simhash-components", done=[rooted, heads])
     return rows.join(of, "fp").select(RID, F.col("id").alias(id_col), "fp", F.col("head.id").alias("component_id"), (F.col(RID) == F.col(f"head.{RID}")).alias("kept"))
 
 
