@@ -4,7 +4,8 @@ Words have hashed embeddings (the whole word and two of its prefixes, summed). F
 word vectors; the maximum of each over the whole text feeds a logistic layer. Thresholds are calibrated by language: the
 language groups are found in the letters of the training texts themselves, so that no column but the text enters a score.
 
-Fitting uses a bounded sample of labelled rows (``TRAIN_ROWS`` of each class at most, in expectation); scoring reads whole texts.
+Fitting uses a bounded sample of labelled rows (``TRAIN_ROWS`` of each class, in expectation, and four times as many rows in all
+at most, the first by a hash of the id); scoring reads whole texts.
 """
 
 from __future__ import annotations
@@ -29,7 +30,8 @@ STEPS, BATCH, RATE, DECAY = 400, 32, 0.02, 1e-4
 MIN_TEXTS = 3
 #: Weight of the cut 0 against a calibrated one, in texts of label 1 kept out of training.
 PRIOR = 5
-GROUPS, GROUP_BINS = 4, 512
+#: Texts whose letter profiles are as like as this are of one language; so many of them, at least, found a group of their own.
+GROUP_COSINE, GROUP_TEXTS, GROUP_BINS = 0.8, 8, 512
 #: Words that a worker's cache holds before it is emptied, and their characters.
 CACHE_WORDS, CACHE_CHARS = 200_000, 4_000_000
 STRIP = ".,;:!?\"'()[]{}<>*#%&$|"
@@ -115,12 +117,20 @@ class Model:
 
 
 def _groups(profiles: np.ndarray) -> np.ndarray:
-    """Centres of language groups: spherical k-means from the profiles farthest apart."""
-    centres = [profiles.mean(axis=0)]
-    for _ in range(GROUPS):
-        far = np.max(np.array(centres) @ profiles.T, axis=0).argmin()
-        centres.append(profiles[far])
-    c = np.array(centres[1:])
+    """Centres of language groups, as many as there are: the text with most others like it founds the first, that with most like it
+    of the texts left the next, and so on; then spherical k-means. Rarer languages go with the centre they are nearest to."""
+    left, centres = np.ones(len(profiles), bool), []
+    like = profiles @ profiles.T >= GROUP_COSINE  # of a bounded sample
+    while left.any():
+        count = (like & left).sum(axis=1) * left
+        first = int(count.argmax())
+        if centres and count[first] < GROUP_TEXTS:
+            break
+        centres.append(profiles[like[first] & left | (np.arange(len(profiles)) == first)].mean(axis=0))
+        centres[-1] /= max(float(np.linalg.norm(centres[-1])), 1e-9)
+        left &= ~like[first] & (profiles @ centres[-1] < GROUP_COSINE)
+        left[first] = False
+    c = np.array(centres)
     for _ in range(15):
         near = (c @ profiles.T).argmax(axis=0)
         c = np.array([profiles[near == g].mean(axis=0) if (near == g).any() else c[g] for g in range(len(c))])
@@ -241,19 +251,22 @@ def fit(texts: list[str], labels: np.ndarray, seed: int = 8) -> Model:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", rows: int = TRAIN_ROWS) -> tuple[list[str], np.ndarray]:
-    """A sample of labelled texts, about ``rows`` of each class at most, drawn by a hash of the id. Null ids and labels are left out."""
+    """A sample of labelled texts, about ``rows`` of each class, drawn by a hash of the id: the same rows each time. At most four
+    times ``rows`` labels, and texts, are taken, those first by that hash, should ids repeat so often. Null ids and labels are
+    left out; a repeated label row counts again; empty tables give an empty sample."""
     known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).filter("id is not null and y is not null")
     sizes = {r["y"]: r["n"] for r in known.filter("y in (0, 1)").groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     share = lambda k: rows / sizes[k] * (1 << 20) if sizes.get(k) else 0.0
-    drawn = known.filter(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < F.when(F.col("y") == 1, share(1)).otherwise(share(0))).limit(4 * rows)
-    found = docs.select(F.col(id_col).alias("id"), F.coalesce(text_col, F.lit("")).alias("text")).join(F.broadcast(drawn), "id").limit(4 * rows)
+    drawn = known.filter(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < F.when(F.col("y") == 1, share(1)).otherwise(share(0))).orderBy(F.xxhash64("id"), "id", "y").limit(4 * rows)
+    found = docs.select(F.col(id_col).alias("id"), F.coalesce(text_col, F.lit("")).alias("text")).join(F.broadcast(drawn), "id").orderBy(F.xxhash64("id"), "id", "y", "text").limit(4 * rows)
     got = sorted((r["id"], r["text"], r["y"]) for r in found.collect())
     return [t for _, t, _ in got], np.array([y for _, _, y in got], np.int64)
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", score_col: str = "toxic_score") -> DataFrame:
-    """``docs`` with a score from 0 to 1. Null and empty texts are scored as a text without words. All columns
-    stay, but one named like the score is replaced."""
+    """``docs`` with a score from 0 to 1. Null and empty texts are scored as a text without words; repeated rows get equal
+    scores; texts of any length are read whole, in parts of bounded size; an empty table gives an empty result. All columns stay,
+    but one named like the score is replaced."""
     docs = docs.drop(score_col)
     place = docs.columns.index(text_col)
     sent = docs.sparkSession.sparkContext.broadcast(model)  # a fixed size: its tables
