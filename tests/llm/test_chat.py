@@ -3,6 +3,7 @@
 import hashlib
 
 import pytest
+from pyspark.sql import functions as F
 
 from trackfit.llm import chat
 
@@ -69,3 +70,11 @@ def test_main_path_has_no_python(spark):
 def test_escaped_text_has_no_control_string(spark, text):
     row = spark.createDataFrame([(text,)], "t string").select(chat.escape(__import__("pyspark.sql.functions", fromlist=["col"]).col("t")).alias("e")).first()
     assert "###" not in row["e"] and "</turn>" not in row["e"]
+
+
+def test_chat_with_clashing_columns(spark):
+    names = ["log", "opens", "run", "part", "reset", "turns", "out", "head", "body", "formatted", "pieces", "loss_mask"]
+    plain = spark.createDataFrame([(1, 0, 0, "message", "user", "hi"), (1, 1, 0, "message", "assistant", "a"), (1, 1, 1, "delta", "assistant", "b")], "conv_id long, message long, seq long, kind string, role string, text string")
+    more = plain.withColumns({n: F.lit(f"own {n}") for n in names})
+    got, want = (chat.read_back(chat.render(chat.fold(x))).collect() for x in (more, plain))
+    assert got == want and got[0]["loss_text"] == "ab"

@@ -3,6 +3,7 @@
 import math
 import random
 import re
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -137,6 +138,53 @@ def test_long_texts_pool_as_a_whole():
     assert np.allclose(model.pooled(v), np.concatenate(whole), atol=1e-4)
 
 
+def brute_score(model, text):
+    """Hashing, convolution, pooling, the logistic layer and the group's threshold, one value at a time."""
+    rows = []
+    for w in text.lower().split():
+        w = w.strip(".,;:!?\"'()[]{}<>*#%&$|")
+        slots = [] if not w else [(w, 1)] + [(w[:k], salt) for k, salt in ((4, 2), (5, 3)) if len(w) >= k]
+        ids = [1 + zlib.crc32(x.encode(), salt) % (toxicity.BUCKETS - 1) for x, salt in slots]
+        rows.append([sum(float(model.table[i][d]) for i in ids) for d in range(toxicity.EMBED)])
+    z = model.bias
+    for j, (width, kernel, bias) in enumerate(zip((1, 2, 3), model.kernels, model.biases)):
+        padded = rows + [[0.0] * toxicity.EMBED] * max(0, width - len(rows))
+        for f in range(toxicity.FILTERS):
+            values = [sum(padded[at + k][d] * float(kernel[k][d][f]) for k in range(width) for d in range(toxicity.EMBED)) for at in range(len(padded) - width + 1)]
+            z += max(0.0, max(values) + float(bias[f])) * float(model.out[j * toxicity.FILTERS + f])
+    pairs = Counter((ord(a) * 31 + ord(b)) % 2**32 % toxicity.GROUP_BINS for a, b in zip(text.lower(), text.lower()[1:]))
+    size = math.sqrt(sum(pairs.values())) or 1.0
+    near = [sum(math.sqrt(n) * float(c[k]) for k, n in pairs.items()) / size for c in model.centres]
+    return 1 / (1 + math.exp(-(z - float(model.thresholds[near.index(max(near))]))))
+
+
+def test_toxicity_forward_pass_brute_force():
+    rows = toxic_corpus(300)
+    model = toxicity.fit([t for _, t, _ in rows], np.array([y for *_, y in rows]))
+    assert any(model.out) and model.table.any()
+    for text in [t for _, t, _ in rows[:12]] + ["", "one", "two words", "!!! ??", "漢字 かな é", " ".join(BAD), words(5, 700) + " mudsnout"]:
+        assert model.score(text) == pytest.approx(brute_score(model, text), abs=1e-5)
+
+
+def test_toxicity_groups_are_as_many_as_languages():
+    rng = random.Random(2)
+    alphabets = ["abcd", "efgh", "ijkl", "mnop", "qrst", "uvwx", "αβγδ"]
+    texts = [(k, " ".join("".join(rng.choice(a) for _ in range(5)) for _ in range(80))) for k, a in enumerate(alphabets) for _ in range(30)]
+    centres = toxicity._groups(np.array([toxicity.letter_profile(t) for _, t in texts]))
+    found = {(k, int((centres @ toxicity.letter_profile(t)).argmax())) for k, t in texts}
+    assert len(found) == len(alphabets) == len({g for _, g in found})
+
+
+def test_toxicity_sample_is_the_same_each_time(spark, store):
+    docs = store(spark.createDataFrame([(i, f"text {i}", "en", "s", 1) for i in range(400)], DOCS).repartition(7), "sampled")
+    rows = [(i, int(i % 4 == 0)) for i in range(400)] + [(8, 1)] * 500 + [(None, 1), (9, None)]
+    labels = spark.createDataFrame(rows, "doc_id long, toxic int")
+    first = toxicity.training_rows(docs, labels, rows=50)
+    second = toxicity.training_rows(docs.repartition(3), labels.repartition(5), rows=50)
+    assert first[0] == second[0] and first[1].tolist() == second[1].tolist() and 0 < len(first[0]) <= 200
+    assert toxicity.training_rows(docs, labels.filter("doc_id < 0"))[0] == []
+
+
 # ---- language ------------------------------------------------------------------------------------------------------------
 
 ALPHABETS = {"aa": "abcdefg", "bb": "fghijklm", "cc": "αβγδεζ"}

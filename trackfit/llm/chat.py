@@ -45,7 +45,9 @@ def fold(events: DataFrame) -> DataFrame:
     Kinds: ``message`` opens a message; ``delta`` appends to it; ``edit`` and ``regenerate`` replace what is there, and
     later deltas append to the replacement. Null text is empty, null kind is ``message``, null role is the empty role. Rows with the
     same place are ordered by kind, role and text. Each ``message`` event opens a message of its own, so repeated rows
-    stay; deltas before any opening event form a message too. The role is that of the event which opened the message.
+    stay; deltas before any opening event form a message too. The role is that of the event which opened the message. An empty
+    log gives no message; other columns of the log are not read, whatever their names. The events of a message are one array,
+    and so is a conversation in ``render``: its one output row holds them all, however long, so neither can be split.
     """
     e = F.struct(F.col("seq"), F.coalesce("kind", F.lit("message")).alias("kind"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     logs = events.groupBy("conv_id", "message").agg(F.sort_array(F.collect_list(e)).alias("log"))
@@ -66,7 +68,8 @@ def render(messages: DataFrame) -> DataFrame:
     """One row per conversation: conv_id, formatted, loss_mask.
 
     ``loss_mask`` has (turn, start, length) for each text that counts for the loss, in code points within that turn's
-    part of ``formatted`` (the part up to its closing control string).
+    part of ``formatted`` (the part up to its closing control string). An empty table gives no row; a conversation is one
+    value and must fit a row; columns beside those of ``fold`` are not read.
     """
     role = escape(F.col("role"), ROLE_CODES)
     turn = messages.select(

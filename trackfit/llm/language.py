@@ -82,19 +82,19 @@ def _chunks(column: pa.Array) -> Iterator[tuple[int, list[str]]]:
         yield start, part
 
 
-def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id") -> tuple[list[str], np.ndarray]:
-    """(languages, prototypes of unit length) from rows with a language, every value of it. Rows with a null id, text or language teach nothing."""
+def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", train_rows: int = TRAIN_ROWS) -> tuple[list[str], np.ndarray]:
+    """(languages, prototypes of unit length) from rows with a language, every value of it, about ``train_rows`` rows each. Rows with a null id, text or language teach nothing."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).filter("id is not null and lang is not null and text is not null")
     sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     langs = sorted(sizes)
-    blocks = [_prototypes(rows, {k: sizes[k] for k in langs[at : at + LANGUAGES]}) for at in range(0, len(langs), LANGUAGES)]
+    blocks = [_prototypes(rows, {k: sizes[k] for k in langs[at : at + LANGUAGES]}, train_rows) for at in range(0, len(langs), LANGUAGES)]
     return langs, np.concatenate([np.zeros((0, DIMENSIONS), np.float32), *blocks])
 
 
-def _prototypes(rows: DataFrame, sizes: dict[str, int]) -> np.ndarray:
+def _prototypes(rows: DataFrame, sizes: dict[str, int], train_rows: int) -> np.ndarray:
     """Prototypes of the languages in ``sizes``, in their order; sizes are their rows."""
     langs = list(sizes)
-    share = F.create_map(*[x for k, n in sizes.items() for x in (F.lit(k), F.lit(TRAIN_ROWS / n))])
+    share = F.create_map(*[x for k, n in sizes.items() for x in (F.lit(k), F.lit(train_rows / n))])
     mine = rows.filter(F.col("lang").isin(langs))
     drawn = mine.filter(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < F.element_at(share, F.col("lang")) * (1 << 20))
 

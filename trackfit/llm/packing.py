@@ -141,8 +141,9 @@ def pack(cut_up: DataFrame, id_col: str = "doc_id", context: int = CONTEXT, part
 def pack_documents(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", context: int = CONTEXT) -> DataFrame:
     """One row per piece: id_col, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
-    Null ids are carried; rows with the same id are documents of their own; a null or empty text is one piece with the
-    closing id; an empty table gives an empty result; other columns of ``docs`` are not read.
+    Null ids are carried; rows with the same id, repeated rows too, are documents of their own; a null or empty text is one piece
+    with the closing id; a text of any length is encoded whole and cut into whole sequences first; an empty table gives an
+    empty result; other columns of ``docs`` are not read, whatever their names.
     """
     return pack(durable(pieces(docs, path, id_col, text_col, context), "pack-pieces"), id_col, context)
 

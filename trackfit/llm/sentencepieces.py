@@ -159,7 +159,8 @@ def vocabulary(path: str) -> Pieces:
 def encode_documents(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
     """One row per document: id_col, n_tokens, ids_sha256, decoded_sha256, and with ``with_ids`` the ids and the decoded text.
 
-    A null text is an empty one and has no ids; whole texts are encoded; null and repeated ids are carried. Other columns aren't read.
+    A null text is an empty one and has no ids; whole texts of any length are encoded; null and repeated ids are carried, and
+    repeated rows give equal rows; an empty table gives an empty result. Other columns aren't read, whatever their names.
     """
     path = path or default_path()
 

@@ -21,7 +21,8 @@ BLOCK = 1024
 
 
 def lengths(docs: DataFrame, path: str | None = None, text_col: str = "text") -> DataFrame:
-    """(length, n_docs): how many documents have each encoded length. A null text has length 0."""
+    """(length, n_docs): how many documents have each encoded length. Null and empty texts have length 0; repeated rows count
+    each; texts of any length are encoded whole; an empty table gives an empty histogram. Other columns aren't read, whatever their names."""
     path = path or tokens.default_path()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
