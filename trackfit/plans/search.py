@@ -10,7 +10,7 @@ from trackfit.plans.cascade import ENTRY_BYTES, classify
 
 STRIDE_SAMPLE, STRIDE_MOST, STRIDE_SCORE, STRIDE_KEEP = 4096, 1024, 0.4, 8
 # Strides that are always tried.
-STRIDE_ALWAYS = [4, 8, 12, 16, 20, 24, 28, 32, 48, 64, 96, 128, 256, 512]
+STRIDE_ALWAYS = [4, 8, 12, 16, 20, 24, 32, 48, 64, 128, 256, 512]
 CHUNKS = [4096, 8192, 16384, 32768, 65536]
 #: Patterns whose parameters the encrypted form can store; others count as raw there.
 SEALED = ("CONST", "LINEAR", "RLE", "REPEAT", "DELTA", "LINEAR_WIDE", "LINEAR_F64", "DELTA_F64", "RAW")
@@ -69,18 +69,42 @@ def stride_candidates(scores: DataFrame, lengths: DataFrame) -> DataFrame:
     return good.union(fixed.select("blob", "stride")).distinct()
 
 
+def settings(signal: DataFrame, chunks: list[int] | None = None) -> DataFrame:
+    """(blob, length, mode, setting): plain, the strides of ``stride_candidates`` and the chunk sizes below the length, of each signal.
+
+    One pass: a signal's count and its first values are one row, and the strides are found within the row."""
+    first = F.collect_list(F.when(F.col("pos") < STRIDE_SAMPLE, F.struct("pos", "v")))
+    heads = signal.groupBy("blob").agg(F.count(F.lit(1)).alias("length"), F.sort_array(first).alias("c"))
+    heads = heads.select("blob", "length", F.transform("c", lambda c: c["v"]).alias("a"), F.size("c").alias("m"), F.least(F.lit(STRIDE_MOST), F.floor(F.col("length") / 4)).cast("int").alias("top"))
+    same = "size(filter(zip_with(slice(a, 1, m - k), slice(a, k + 1, m - k), (x, y) -> x = y), z -> z))"
+    scored = f"transform(filter(sequence(2, greatest(top, 2)), k -> k <= top and k < m), k -> struct(k as stride, {same} / (m - k) as score))"
+    good = f"filter({scored}, x -> x.score > {STRIDE_SCORE})"
+    order = "(x, y) -> case when x.score > y.score then -1 when x.score < y.score then 1 else x.stride - y.stride end"
+    fixed = f"filter(array({', '.join(map(str, STRIDE_ALWAYS))}), k -> k < top)"
+    strides = f"array_distinct(concat(transform(slice(array_sort({good}, {order}), 1, {STRIDE_KEEP}), x -> x.stride), {fixed}))"
+    sizes_below = f"filter(array({', '.join(map(str, chunks or CHUNKS))}), k -> k < length)"
+    every = f"concat(array(struct('plain' as mode, 0 as setting)), transform({strides}, k -> struct('stride' as mode, k as setting)), transform({sizes_below}, k -> struct('chunk' as mode, k as setting)))"
+    return heads.selectExpr("blob", "length", f"inline({every})")
+
+
 def modes(signal: DataFrame, lengths: DataFrame, strides: DataFrame, chunks: list[int] | None = None) -> DataFrame:
-    """(blob, mode, setting, est_size): plain, each stride (10 bytes of header more, the last record filled with zeros) and each chunk size that is below the length."""
-    s = signal.join(lengths, "blob")
-    plain = s.select("blob", F.lit("plain").alias("mode"), F.lit(0).alias("setting"), "pos", "v")
-    fill = layout.padding(lengths.join(strides, "blob"), F.col("stride"))
-    turned = s.join(strides, "blob").unionByName(fill, allowMissingColumns=True)
-    rows = F.floor((F.col("length") + F.col("stride") - 1) / F.col("stride"))
-    by_stride = turned.select("blob", F.lit("stride").alias("mode"), F.col("stride").alias("setting"), (F.pmod("pos", "stride") * rows + F.floor(F.col("pos") / F.col("stride"))).cast("long").alias("pos"), "v")
-    by_chunk = s.withColumn("setting", F.explode(F.array(*map(F.lit, chunks or CHUNKS)))).filter("setting < length").select("blob", F.lit("chunk").alias("mode"), "setting", "pos", "v")
-    key = F.struct("blob", "mode", "setting", F.when(F.col("mode") == "chunk", F.floor(F.col("pos") / F.col("setting"))).otherwise(0).cast("long").alias("chunk_id"))
-    every = plain.unionByName(by_stride).unionByName(by_chunk)
-    one = every.select(key.alias("blob"), F.when(F.col("mode") == "chunk", F.pmod("pos", "setting")).otherwise(F.col("pos")).alias("pos"), "v")
+    """``modes_of`` for the strides and chunk sizes given."""
+    plain = lengths.select("blob", "length", F.lit("plain").alias("mode"), F.lit(0).alias("setting"))
+    by_stride = lengths.join(strides, "blob").select("blob", "length", F.lit("stride").alias("mode"), F.col("stride").cast("int").alias("setting"))
+    by_chunk = lengths.select("blob", "length", F.lit("chunk").alias("mode"), F.explode(F.array(*map(F.lit, chunks or CHUNKS))).alias("setting")).filter("setting < length")
+    return modes_of(signal, plain.unionByName(by_stride).unionByName(by_chunk))
+
+
+def modes_of(signal: DataFrame, chosen: DataFrame) -> DataFrame:
+    """(blob, mode, setting, est_size) for each of the settings (blob, length, mode, setting): plain, strides (10 bytes of header
+    more, the last record filled with zeros) and chunks. The signal is read once, each value for all its settings."""
+    fill = layout.padding(chosen.filter("mode = 'stride'"), F.col("setting"))
+    every = signal.join(chosen, "blob").select("blob", "length", "mode", "setting", "pos", "v").unionByName(fill.select("blob", "length", "mode", "setting", "pos", "v"))
+    turned = "pos % setting * ((length + setting - 1) div setting) + pos div setting"
+    one = every.select(
+        F.expr("struct(blob, mode, setting, if(mode = 'chunk', pos div setting, 0L) as chunk_id)").alias("blob"),
+        F.expr(f"cast(case mode when 'stride' then {turned} when 'chunk' then pos % setting else pos end as bigint)").alias("pos"), "v",
+    )
     best = search_geometry(one)
     header = F.when(F.col("blob.mode") == "stride", 10).otherwise(0)
     return best.select("blob.blob", "blob.mode", "blob.setting", (F.col("est_size") + header).alias("est_size")).groupBy("blob", "mode", "setting").agg(F.sum("est_size").cast("long").alias("est_size"))
