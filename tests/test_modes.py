@@ -82,3 +82,10 @@ def test_the_winner_is_a_stride_that_two_fixed_ones_miss(spark, made, brute):
 def test_sizes_equal_brute_force_with_the_last_record_filled(made, brute, got):
     assert any(m == "stride" and len(made[1][blob]) % s for blob, m, s in brute)
     assert got == brute
+
+
+def test_settings_are_those_of_the_candidates(spark, made):
+    got = {(r["blob"], r["setting"]) for r in search.settings(catalog._signals(spark, made[0])).filter("mode = 'stride'").collect()}
+    assert got == {(blob, s) for blob, v in made[1].items() for s in candidates(v)}
+    want = catalog.queries()["stride_candidates"](spark, made[0]).collect()
+    assert got == {(r["blob"], r["stride"]) for r in want}

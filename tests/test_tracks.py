@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from trackfit import api
 from trackfit.functions.dialect import SPARK
 from trackfit.operators import detect, groups, layout, numeric, rebuild
-from trackfit.plans import cascade, search
+from trackfit.plans import cascade, search, second
 from trackfit.sources import fixtures
 
 FAMILIES = fixtures.families()
@@ -162,6 +162,46 @@ def test_signals_come_back_whole(spark, values):
     assert api.verify(spoilt, api.fit(s), lengths).count() == 2
 
 
+def half_raw(n=12):
+    rng = random.Random(9)
+    return [x for _ in range(n) for x in [255] * 128 + [rng.randrange(256) for _ in range(128)]]
+
+
+@pytest.mark.parametrize("s", [8, 64, 128, 256, 512])
+def test_second_pass_and_back(spark, s):
+    sig = signal(spark, half_raw()).unionByName(signal(spark, [255] * 600, "even")).unionByName(signal(spark, half_raw(3)[128:], "other"))
+    e = api.fit(sig, s).cache()
+    chosen = {r["blob"]: r for r in second.choose(e, second.recut(e)).collect()}
+    raw = {blob: [r["ints"] for r in e.filter((F.col("blob") == blob) & (F.col("pattern") == "RAW")).orderBy("track").collect()] for blob in ("s", "even", "other")}
+    for blob, rows in raw.items():
+        flat, sizes = [x for r in rows for x in r], {}
+        for k in second.SIZES:
+            if len(rows) >= 2 and not (k >= s and k >= len(flat)):
+                again = api.fit(signal(spark, flat), k)
+                if again.filter("pattern <> 'RAW'").count():
+                    sizes[k] = search.sizes(again).first()["est_size"]
+        best = min(sizes, key=lambda k: (sizes[k], k), default=None)
+        wanted = best is not None and sizes[best] < len(rows) * (3 + s)
+        assert (blob in chosen) == wanted
+        if wanted:
+            assert (chosen[blob]["sub_s"], chosen[blob]["size_after"], chosen[blob]["size_before"], chosen[blob]["raw_tracks"]) == (best, sizes[best], len(rows) * (3 + s), len(rows))
+    if s >= 256:
+        assert "s" in chosen
+    first, again = second.second_pass(e)
+    n_tracks = e.groupBy("blob", "s").agg(F.count(F.lit(1)).alias("n_tracks"))
+    back = second.undo(first, again, n_tracks)
+    key = lambda r: (r["blob"], r["s"], r["track"], r["pattern"], tuple(r["ints"]))
+    assert sorted(map(key, back.collect())) == sorted(map(key, e.collect()))
+
+
+def test_sections(spark):
+    named = spark.createDataFrame([("a", 0, 3), ("b", 2, 100), ("none", 50, 9)], "section string, start long, length long")
+    got = {}
+    for r in layout.sections(signal(spark, [7, 8, 9, 10]), named).orderBy("pos").collect():
+        got.setdefault(r["section"], []).append((r["pos"], r["v"]))
+    assert got == {"a": [(0, 7), (1, 8), (2, 9)], "b": [(0, 9), (1, 10)]}
+
+
 def test_missing_tracks_are_found(spark):
     e = api.fit(signal(spark, list(range(128))), 16).filter("track <> 3")
     expected = spark.createDataFrame([("s", 8), ("none", 0)], "blob string, n_tracks long")

@@ -136,6 +136,31 @@ def test_fallback_and_comparators(spark):
     assert all(r["winner"] == "tracks" for r in won)
 
 
+@pytest.mark.parametrize("raw", ["none", "zlib", "zstd", "best"])
+def test_raw_tracks_are_packed_and_back(spark, raw):
+    rng = random.Random(4)
+    rows = [("RAW", [1, 2] * 300), ("RAW", [rng.randrange(256) for _ in range(400)]), ("RAW", [5, 6, 5]), ("DELTA", [3, 1, -1]), ("RAW", [])]
+    e = spark.createDataFrame([(k, p, v, None) for k, (p, v) in enumerate(rows)], "k int, pattern string, ints array<long>, reals array<double>")
+    packed = transforms.pack_raw(e, raw).orderBy("k").collect()
+    assert [r["method"] for r in packed][1:] == [0, 0, None, 0] and (packed[0]["method"] > 0) == (raw != "none")
+    assert all(r["ints"] is None for r in packed if r["pattern"] == "RAW") and len(packed[0]["packed"]) < (601 if raw == "none" else 60)
+    assert [r["ints"] for r in transforms.unpack_raw(transforms.pack_raw(e, raw)).orderBy("k").collect()] == [v for _, v in rows]
+
+
+def test_image_of_a_file_store(spark, tmp_path):
+    inodes, entries = filesystem.create(
+        spark.createDataFrame([], filesystem.INODES), spark.createDataFrame([], filesystem.ENTRIES), spark.createDataFrame([(2, 0, "f", 100), (3, 0, "g", 7)], "ino long, parent long, name string, size long")
+    )
+    data = spark.createDataFrame([(2, bytearray(b"a" * 100), 0), (3, bytearray(b"1234567"), 1)], "ino long, content binary, platter int")
+    blocks = spark.createDataFrame([(0, 2, 0), (1, 3, 0)], filesystem.BLOCKS)
+    filesystem.write_image(f"{tmp_path}/image", inodes, entries, data, blocks)
+    back = filesystem.read_image(spark, f"{tmp_path}/image")
+    for name, table in (("inodes", inodes), ("entries", entries), ("data", data), ("blocks", blocks)):
+        assert sorted(map(str, back[name].select(table.columns).collect())) == sorted(map(str, table.collect()))
+    with pytest.raises(Exception, match="(?i)exist"):
+        filesystem.write_image(f"{tmp_path}/image", inodes, entries, data, blocks)
+
+
 def test_files_through_the_command_line(spark, tmp_path):
     data = bytes(range(256)) * 3 + b"\0" * 100 + bytes(random.Random(7).randrange(256) for _ in range(333))
     (tmp_path / "x.bin").write_bytes(data)

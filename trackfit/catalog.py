@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trackfit import api, oracles
-from trackfit.functions.dialect import DUCK, SPARK
+from trackfit.functions.dialect import DUCK
 from trackfit.operators import access, detect, filesystem, groups, layout, media, numeric, rebuild, transforms
-from trackfit.plans import cascade, report, search
+from trackfit.plans import cascade, report, search, second
 from trackfit.sources import fixtures, signals, store
 from trackfit.streaming import chunks
 
@@ -32,18 +32,13 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _with_views(spark: SparkSession, sf_dir: str, sql: str, names: tuple[str, ...]) -> DataFrame:
-    for n in names:
-        _table(spark, sf_dir, n).createOrReplaceTempView(n)
-    return spark.sql(sql)
-
-
 def _families(spark: SparkSession, sf_dir: str, names: list[str], near_miss: bool = True) -> DataFrame:
-    """(family, s, track, v): tracks of families; only event_id is read. Grouping is keyed by family and track."""
-    cells = _with_views(spark, sf_dir, fixtures.cells_sql(SPARK, names, near_miss), ("events",))
+    """(family, s, track, v, filled): tracks of families, and how many of their values aren't padding; only event_id is read, once.
+    Grouping is keyed by family and track."""
+    cells = fixtures.cells(_table(spark, sf_dir, "events"), names, near_miss)
     grouped = cells.groupBy("family", "n", "track").agg(F.sort_array(F.collect_list(F.struct("i", "v"))).alias("c"))
     values = F.transform("c", lambda c: c["v"])
-    return grouped.select("family", F.col("n").alias("s"), "track", F.concat(values, F.array_repeat(F.lit(0), F.col("n") - F.size("c"))).alias("v"))
+    return grouped.select("family", F.col("n").alias("s"), "track", F.concat(values, F.array_repeat(F.lit(0), F.col("n") - F.size("c"))).alias("v"), F.size("c").alias("filled"))
 
 
 def _long(df: DataFrame, *names: str) -> DataFrame:
@@ -93,9 +88,8 @@ _register("cascade_tracks", _cascade_tracks, f"WITH {oracles.family_tracks(INTEG
 
 def _cascade_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole tracks of every family, float patterns included, without near misses: each is won by its own pattern."""
-    found = cascade.classify(_families(spark, sf_dir, FAMILIES, near_miss=False))
-    complete = F.col("track") < F.floor(F.lit(_table(spark, sf_dir, "events").count()) / F.col("s"))
-    return found.filter(complete).groupBy("family", "pattern").agg(F.count(F.lit(1)).alias("n_tracks"))
+    complete = _families(spark, sf_dir, FAMILIES, near_miss=False).filter("filled = s")
+    return cascade.classify(complete).groupBy("family", "pattern").agg(F.count(F.lit(1)).alias("n_tracks"))
 
 
 _register("cascade_all_families", _cascade_all, " UNION ALL ".join(f"SELECT '{f}' AS family, '{f}' AS pattern, count(*) // {n} AS n_tracks FROM events HAVING count(*) >= {n}" for f, (n, _) in fixtures.families(DUCK).items()))
@@ -148,6 +142,30 @@ def _containers(spark: SparkSession, sf_dir: str) -> DataFrame:
 _register("container_roundtrip", _containers, _original(FAMILIES))
 
 
+def _container_heads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the heads of real containers say."""
+    e = cascade.classify(_families(spark, sf_dir, FAMILIES)).withColumn("blob", F.concat_ws("/", "family", (F.col("track") % 7).cast("string")))
+    return _long(store.container_heads(store.to_containers(e, e.groupBy("blob").agg(F.sum("s").cast("long").alias("length")))), "s")
+
+
+_register("container_heads", _container_heads, f"WITH {oracles.family_tracks(FAMILIES)} SELECT concat_ws('/', family, track % 7) AS blob, CAST(sum(n) AS BIGINT) AS length, n AS s, count(*) AS entries FROM tracks GROUP BY family, n, track % 7")
+
+
+def _parameters_sealed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Patterns in the open, parameters sealed; both come back."""
+    key = F.lit("0123456789abcdef")
+    sealed = access.seal_parameters(cascade.classify(_families(spark, sf_dir, INTEGER_FAMILIES)).drop("cost"), key)
+    rebuilt = rebuild.rebuild(access.open_parameters(sealed, key))
+    return _sums(rebuilt, "family", "pattern")
+
+
+_register(
+    "parameters_sealed", _parameters_sealed,
+    f"WITH {oracles.family_tracks(INTEGER_FAMILIES)}, {oracles.cascade('tracks')}, x AS (SELECT family, pattern, track, n, unnest(v) AS v, generate_subscripts(v, 1) - 1 AS i FROM enc) "
+    "SELECT family, pattern, CAST(track AS BIGINT) AS track, CAST(max(n) AS BIGINT) AS n, CAST(sum(v) AS BIGINT) AS total, CAST(sum(v * (i + 1)) AS BIGINT) AS weighted, CAST(sum(v * v * ((i * 7) % 31 + 1)) AS BIGINT) AS squares FROM x GROUP BY family, pattern, track",
+)
+
+
 def _sealed(spark: SparkSession, sf_dir: str) -> DataFrame:
     outer, inner = F.lit("0123456789abcdef"), F.lit("fedcba9876543210")
     e = cascade.classify(_families(spark, sf_dir, FAMILIES)).drop("cost")
@@ -168,13 +186,15 @@ _register("structure_view", _structure_view, f"WITH {oracles.family_tracks(INTEG
 
 # ---- geometry and searches -----------------------------------------------------------------------------------------------
 
-class _AllEvents(str):
-    """A folder whose events all enter the signals."""
-
-
 def _signals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sql = oracles.all_events_sql if isinstance(sf_dir, _AllEvents) else oracles.signals_sql
-    return _with_views(spark, sf_dir, sql("div"), ("part", "orders", "events"))
+    """The signals of ``oracles.signals_sql``: one scan of each table."""
+    column = lambda name, blob, pos, value: _table(spark, sf_dir, name).selectExpr(f"'{blob}' as blob", f"cast({pos} as bigint) as pos", f"cast(cast(round({value}) as bigint) % 256 as int) as v")
+    made = _table(spark, sf_dir, "events").selectExpr(
+        "inline(array(struct(concat('stairs/', event_id div 4096) as blob, cast(event_id % 4096 as bigint) as pos, cast((event_id div 64) % 256 as int) as v),"
+        " struct(concat('ramps/', event_id div 8192) as blob, cast(event_id % 8192 as bigint) as pos, cast((event_id % 8192) div 64 + event_id % 64 as int) as v),"
+        " struct('filled' as blob, cast(event_id as bigint) as pos, 255 as v)))"
+    )
+    return column("part", "prices", "p_partkey", "p_retailprice * 10").unionByName(column("orders", "totals", "o_orderkey", "o_totalprice * 100")).unionByName(made)
 
 
 def _encodings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -245,7 +265,7 @@ _register(
 def _columnar(spark: SparkSession, sf_dir: str) -> DataFrame:
     sig = _signals(spark, sf_dir)
     lengths = sig.groupBy("blob").agg(F.count(F.lit(1)).alias("length"))
-    j = sig.join(F.broadcast(lengths), "blob")  # one row per signal: five, or one for each 4,096 and 8,192 events
+    j = sig.join(lengths, "blob")
     turned = layout.columnar(j, 21, F.col("length")).select("blob", "pos", "v", "length")
     back = layout.uncolumnar(turned.withColumn("turned", F.col("pos")), 21, F.col("length"))
     return back.select("blob", "turned", "pos", F.col("v").cast("long").alias("v"))
@@ -259,10 +279,7 @@ def _stride_inputs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFra
     return sig, sig.groupBy("blob").agg(F.count(F.lit(1)).alias("length"))
 
 
-_SCORES = f"""WITH sig AS ({oracles.signals_sql()}), l AS (SELECT blob, count(*) AS length FROM sig GROUP BY blob),
-c AS (SELECT blob, length, least(1024, length // 4) AS top, least(4096, length) AS m, CAST(unnest(range(2, least(1024, length // 4) + 1)) AS BIGINT) AS stride FROM l),
-sc AS (SELECT c.blob, c.stride, CAST(sum(CASE WHEN a.v = b.v THEN 1 ELSE 0 END) AS BIGINT) AS matches, max(c.m) - c.stride AS pairs
- FROM c JOIN sig a ON a.blob = c.blob AND a.pos < c.m - c.stride JOIN sig b ON b.blob = c.blob AND b.pos = a.pos + c.stride GROUP BY c.blob, c.stride)"""
+_SCORES = f"WITH sig AS ({oracles.signals_sql()}), {oracles.scores('sig')}"
 
 
 def _scores(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -275,23 +292,47 @@ def _candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _register("stride_scores", _scores, f"{_SCORES} SELECT * FROM sc")
+_register("stride_candidates", _candidates, f"{_SCORES} {oracles.candidates(search.STRIDE_ALWAYS)}")
+
+
+def _modes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every stride that is detected or always tried, and every chunk size."""
+    sig = _signals(spark, sf_dir)
+    return _long(search.modes_of(sig, search.settings(sig)), "setting")
+
+
+_MODES = oracles.modes(search.STRIDE_ALWAYS, search.CHUNKS)
+_register("mode_sizes", _modes, f"{_MODES} SELECT * FROM modes")
+_register(
+    "recommend_mode", lambda s, d: report.recommend(_modes(s, d)),
+    f"{_MODES}, p AS (SELECT blob, est_size AS plain FROM modes WHERE mode = 'plain'), b AS (SELECT *, row_number() OVER (PARTITION BY blob ORDER BY est_size, mode, setting) AS k FROM modes) "
+    "SELECT blob, CASE WHEN est_size < plain THEN concat(mode, ' ', setting) ELSE 'plain' END AS advice, CAST(floor(100 * (plain - est_size) / greatest(plain, 1)) AS BIGINT) AS saving_percent FROM b JOIN p USING (blob) WHERE k = 1",
+)
 _register(
-    "stride_candidates", _candidates,
-    f"{_SCORES} SELECT blob, stride FROM (SELECT *, row_number() OVER (PARTITION BY blob ORDER BY matches / pairs DESC, stride) AS k FROM sc WHERE matches / pairs > 0.4) WHERE k <= 8 "
-    f"UNION SELECT blob, stride FROM (SELECT blob, least(1024, length // 4) AS top, CAST(unnest({search.STRIDE_ALWAYS}) AS BIGINT) AS stride FROM l) WHERE stride < top",
+    "best_mode", lambda s, d: search.best_mode(_modes(s, d)),
+    f"{_MODES} SELECT blob, mode, setting, est_size FROM modes QUALIFY row_number() OVER (PARTITION BY blob ORDER BY est_size, CASE mode WHEN 'plain' THEN 0 WHEN 'stride' THEN 1 ELSE 2 END, setting) = 1",
 )
 
 
-def _modes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every stride that is detected or always tried, and every chunk size; over all events."""
-    sig, lengths = _stride_inputs(spark, _AllEvents(sf_dir))
-    strides = search.stride_candidates(search.stride_scores(sig, lengths), lengths)
-    return _long(search.modes(sig, lengths, strides), "setting")
+def _second(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The second pass over raw tracks, for each track length of the first."""
+    e = _encodings(spark, sf_dir)
+    return _long(second.choose(e, second.recut(e)), "s", "sub_s")
+
+
+_register("second_pass", _second, oracles.second_pass())
 
+_SECTIONS = [("head", 0, 256), ("table", 256, 1024), ("body", 1280, 4096), ("rest", 5376, 1 << 40)]
 
-_register("mode_sizes", _modes)
-_register("recommend_mode", lambda s, d: report.recommend(_modes(s, d)))
-_register("best_mode", lambda s, d: search.best_mode(_modes(s, d)))
+
+def _sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    named = spark.createDataFrame(_SECTIONS, "section string, start long, length long")
+    cut = layout.sections(_signals(spark, sf_dir), named)
+    best = search.search_geometry(cut.select(F.struct("blob", "section").alias("blob"), "pos", "v"))
+    return best.select("blob.blob", "blob.section", F.col("s").cast("long").alias("s"), "est_size")
+
+
+_register("section_sizes", _sections, oracles.sections(_SECTIONS))
 
 
 def _entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -312,14 +353,6 @@ def _mode(spark: SparkSession, sf_dir: str) -> DataFrame:
 _register("histogram_mode", _mode, f"WITH sig AS ({oracles.signals_sql()}), c AS (SELECT blob, pos // 256 AS track, CAST(v AS BIGINT) AS v, count(*) AS n FROM sig GROUP BY ALL) SELECT blob, track, arg_max(v, n * 256 + v) AS v, max(n) AS n FROM c GROUP BY blob, track")
 _register("byte_delta", lambda s, d: _long(transforms.delta_of_signal(_signals(s, d)), "v"), f"WITH sig AS ({oracles.signals_sql()}) SELECT blob, pos, CAST((v - coalesce(lag(v) OVER (PARTITION BY blob ORDER BY pos), 0) + 256) % 256 AS BIGINT) AS v FROM sig")
 
-# The statements above take the first 4,096 events as stairs and 8,192 as ramps; these are the same queries over all events.
-OVER_SIGNALS = [
-    "geometry_sizes", "best_geometry", "meta_groups", "remaining_individuals", "sealed_geometry", "analyze_histogram_256", "pattern_breakdown", "verify_roundtrip",
-    "layout_tracks", "columnar_roundtrip", "stride_scores", "stride_candidates", "entropy_gate", "histogram_mode", "byte_delta",
-]
-for _n in OVER_SIGNALS:
-    _register(f"{_n}_all_events", lambda s, d, query=_queries[_n]: query(s, _AllEvents(d)), _oracles[_n].replace(oracles.signals_sql(), oracles.all_events_sql()))
-
 
 def _text_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = signals.from_text(_table(spark, sf_dir, "documents"), F.col("doc_id"), F.col("text"))
@@ -336,28 +369,64 @@ def _text_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.pattern_histogram(cascade.classify(layout.lay_out_arrays(a, [64])))
 
 
-_register("text_patterns", _text_patterns)
+_register(
+    "text_patterns", _text_patterns,
+    "WITH d AS (SELECT strlen(coalesce(text, '')) AS m, hex(encode(coalesce(text, ''))) AS h FROM documents WHERE strlen(coalesce(text, '')) > 0), k AS (SELECT h, m, unnest(range((m + 63) // 64)) AS track FROM d), "
+    "tracks AS (SELECT CAST(64 AS BIGINT) AS n, list_resize(list_transform(range(64 * track, least(m, 64 * track + 64)), lambda i: CAST('0x' || substr(h, 2 * i + 1, 2) AS INTEGER)), 64, 0) AS v FROM k), "
+    + oracles.cascade("tracks") + " SELECT pattern, count(*) AS n_tracks, CAST(sum(cost) AS BIGINT) AS payload FROM enc GROUP BY pattern",
+)
 _register("fallback_sizes", lambda s, d: transforms.best_fallback(transforms.compressed_sizes(_table(s, d, "pages").select("page_id", F.col("html").cast("binary").alias("content")))).drop("content"))
-_register("bwt_names", lambda s, d: transforms.unbwt(transforms.bwt(_table(s, d, "customer").select(F.col("c_custkey").alias("blob"), F.col("c_name").alias("text")))).select(F.col("blob").alias("c_custkey"), F.col("text").alias("c_name")), "SELECT c_custkey, c_name FROM customer")
+
+
+def _bwt_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    b = transforms.bwt(_table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("blob"), F.col("c_name").alias("text")))
+    # One Python pass: the transform goes along as part of the key.
+    back = transforms.unbwt(b.select(F.struct("blob", F.hex(F.col("bwt").cast("binary")).alias("bwt_hex")).alias("blob"), "bwt"))
+    return back.select(F.col("blob.blob").alias("c_custkey"), "blob.bwt_hex", F.col("text").alias("c_name"))
+
+
+_register(
+    "bwt_names", _bwt_names,
+    "SELECT c_custkey, hex(encode(array_to_string(list_transform(list_sort(list_transform(range(1, length(w) + 1), lambda k: substr(w, k) || substr(w, 1, k - 1))), lambda t: substr(t, length(t), 1)), ''))) AS bwt_hex, c_name "
+    "FROM (SELECT c_custkey, c_name, c_name || chr(0) AS w FROM customer)",
+)
+
+
+def _fallback_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = transforms.pack_raw(cascade.classify(_families(spark, sf_dir, ["RAW", "DELTA"])))
+    return _sums(rebuild.rebuild(transforms.unpack_raw(e)), "family")
+
+
+_register("fallback_roundtrip", _fallback_roundtrip, _original(["RAW", "DELTA"]))
 
 # ---- media ---------------------------------------------------------------------------------------------------------------
 
-_ROWS = "SELECT CAST(o_orderkey {d} 4096 AS BIGINT) AS image_id, CAST((o_orderkey {d} 64) % 64 AS BIGINT) AS row_idx, CAST(o_orderkey % 64 AS INT) AS i, CAST(CASE (o_orderkey {d} 64) % 4 WHEN 0 THEN 90 + o_orderkey % 3 WHEN 1 THEN 20 + 2 * (o_orderkey % 64) + o_orderkey % 2 WHEN 2 THEN (o_orderkey % 64) * (o_orderkey % 64) {d} 16 ELSE (o_orderkey * 7919) % 251 END AS INT) AS v FROM orders"
+_ROWS = "SELECT CAST(o_orderkey {d} 4096 AS BIGINT) AS image_id, CAST((o_orderkey {d} 64) % 64 AS BIGINT) AS row_idx, CAST(o_orderkey % 64 AS INT) AS i, CAST(CASE (o_orderkey {d} 64) % 5 WHEN 0 THEN 90 + o_orderkey % 3 WHEN 1 THEN 20 + 2 * (o_orderkey % 64) + o_orderkey % 2 WHEN 2 THEN (o_orderkey % 64) * (o_orderkey % 64) {d} 16 WHEN 3 THEN (o_orderkey % 64) * (o_orderkey % 64) * (o_orderkey % 64) {d} 1040 ELSE (o_orderkey * 7919) % 251 END AS INT) AS v FROM {t}"
 
 
 def _image_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cells = _with_views(spark, sf_dir, _ROWS.format(d="div"), ("orders",))
+    cells = spark.sql(_ROWS.format(d="div", t="{t}"), t=_table(spark, sf_dir, "orders"))
     return cells.groupBy("image_id", "row_idx").agg(F.sort_array(F.collect_list(F.struct("i", "v"))).alias("c")).select("image_id", "row_idx", F.transform("c", lambda c: c["v"]).alias("v"))
 
 
 def _row_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kind = F.when(F.col("kind").isin("CONST", "LINEAR"), F.col("kind")).otherwise("OTHER")
-    return media.fit_rows(_image_rows(spark, sf_dir), 2.5).select("image_id", "row_idx", kind.alias("kind"))
+    return media.fit_rows(_image_rows(spark, sf_dir), 2.5).select("image_id", "row_idx", "kind")
 
 
-_FITS = f"""WITH c AS ({_ROWS.format(d='//')}), f AS (SELECT image_id, row_idx, avg(v) AS m, regr_slope(v, i) AS b, regr_intercept(v, i) AS a FROM c GROUP BY ALL),
+_FITS = f"""WITH c AS ({_ROWS.format(d='//', t='orders')}), f AS (SELECT image_id, row_idx, avg(v) AS m, regr_slope(v, i) AS b, regr_intercept(v, i) AS a FROM c GROUP BY ALL),
 e AS (SELECT image_id, row_idx, max(abs(v - m)) AS e1, max(abs(v - (coalesce(a, m) + coalesce(b, 0) * i))) AS e2 FROM c JOIN f USING (image_id, row_idx) GROUP BY ALL)"""
-_register("row_fit", _row_fit, f"{_FITS} SELECT image_id, row_idx, CASE WHEN e1 <= 2.5 THEN 'CONST' WHEN e2 <= 2.5 THEN 'LINEAR' ELSE 'OTHER' END AS kind FROM e")
+# Curves by orthogonal polynomials of the row: the same least squares, by another way than the normal equations.
+_CURVES = """,
+q1 AS (SELECT image_id, row_idx, v, CAST(i AS DOUBLE) / count(*) OVER r AS x, count(*) OVER r AS n FROM c WINDOW r AS (PARTITION BY image_id, row_idx)),
+q2 AS (SELECT *, x - avg(x) OVER r AS p1, x * x - avg(x * x) OVER r AS y2, x * x * x - avg(x * x * x) OVER r AS y3 FROM q1 WINDOW r AS (PARTITION BY image_id, row_idx)),
+q3 AS (SELECT *, y2 - p1 * sum(y2 * p1) OVER r / nullif(sum(p1 * p1) OVER r, 0) AS p2, y3 - p1 * sum(y3 * p1) OVER r / nullif(sum(p1 * p1) OVER r, 0) AS z3 FROM q2 WINDOW r AS (PARTITION BY image_id, row_idx)),
+q4 AS (SELECT *, z3 - p2 * sum(z3 * p2) OVER r / nullif(sum(p2 * p2) OVER r, 0) AS p3 FROM q3 WINDOW r AS (PARTITION BY image_id, row_idx)),
+q5 AS (SELECT *, avg(v) OVER r + p1 * sum(v * p1) OVER r / nullif(sum(p1 * p1) OVER r, 0) + p2 * sum(v * p2) OVER r / nullif(sum(p2 * p2) OVER r, 0) AS f2, p3 * sum(v * p3) OVER r / nullif(sum(p3 * p3) OVER r, 0) AS g3 FROM q4 WINDOW r AS (PARTITION BY image_id, row_idx)),
+h AS (SELECT image_id, row_idx, max(n) AS n, max(abs(v - f2)) AS e3, max(abs(v - f2 - g3)) AS e4 FROM q5 GROUP BY image_id, row_idx)"""
+_register(
+    "row_fit", _row_fit,
+    f"{_FITS}{_CURVES} SELECT image_id, row_idx, CASE WHEN e1 <= 2.5 THEN 'CONST' WHEN e2 <= 2.5 THEN 'LINEAR' WHEN n > 2 AND e3 <= 2.5 THEN 'POLY2' WHEN n > 3 AND e4 <= 2.5 THEN 'POLY3' ELSE 'RAW' END AS kind FROM e JOIN h USING (image_id, row_idx)",
+)
 
 
 def _row_error(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -367,17 +436,17 @@ def _row_error(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.groupBy("image_id").agg(F.count(F.lit(1)).alias("n_rows"), F.sum(F.when(worst <= 3, 1).otherwise(0)).cast("long").alias("within"))
 
 
-_register("row_rebuild", _row_error, f"SELECT image_id, count(DISTINCT row_idx) AS n_rows, count(DISTINCT row_idx) AS within FROM ({_ROWS.format(d='//')}) GROUP BY image_id")
+_register("row_rebuild", _row_error, f"SELECT image_id, count(DISTINCT row_idx) AS n_rows, count(DISTINCT row_idx) AS within FROM ({_ROWS.format(d='//', t='orders')}) GROUP BY image_id")
 _register(
     "row_groups", lambda s, d: media.row_groups(media.fit_rows(_image_rows(s, d), 2.5).filter("kind = 'CONST'")).select("image_id", "kind", F.expr("cast(params[0] as bigint)").alias("value"), "n", "first_row"),
     f"{_FITS} SELECT image_id, 'CONST' AS kind, CAST(round(m) AS BIGINT) AS value, count(*) AS n, min(row_idx) AS first_row FROM e JOIN f USING (image_id, row_idx) WHERE e1 <= 2.5 GROUP BY 1, 2, 3 HAVING count(*) >= 4",
 )
 
-_PIXELS = "SELECT CAST(event_id {d} 1024 AS BIGINT) AS frame, CAST(event_id % 32 AS BIGINT) AS x, CAST((event_id {d} 32) % 32 AS BIGINT) AS y, CAST((event_id * 37) % 256 AS INT) AS r, CAST((event_id * event_id) % 253 AS INT) AS g, CAST((event_id {d} 7) % 251 AS INT) AS b FROM events"
+_PIXELS = "SELECT CAST(event_id {d} 1024 AS BIGINT) AS frame, CAST(event_id % 32 AS BIGINT) AS x, CAST((event_id {d} 32) % 32 AS BIGINT) AS y, CAST((event_id * 37) % 256 AS INT) AS r, CAST((event_id * event_id) % 253 AS INT) AS g, CAST((event_id {d} 7) % 251 AS INT) AS b FROM {t}"
 
 
 def _pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _with_views(spark, sf_dir, _PIXELS.format(d="div"), ("events",))
+    return spark.sql(_PIXELS.format(d="div", t="{t}"), t=_table(spark, sf_dir, "events"))
 
 
 def _byte_sql(x: str) -> str:
@@ -387,7 +456,7 @@ def _byte_sql(x: str) -> str:
 _Y = _byte_sql("0.299::DOUBLE * r + 0.587::DOUBLE * g + 0.114::DOUBLE * b")
 _CB = _byte_sql("128::DOUBLE - 0.168736::DOUBLE * r - 0.331264::DOUBLE * g + 0.5::DOUBLE * b")
 _CR = _byte_sql("128::DOUBLE + 0.5::DOUBLE * r - 0.418688::DOUBLE * g - 0.081312::DOUBLE * b")
-_PLANES = f"""WITH p AS ({_PIXELS.format(d='//')}), q AS (SELECT frame, x, y, {_Y} AS l, {_CB} AS cb, {_CR} AS cr FROM p),
+_PLANES = f"""WITH p AS ({_PIXELS.format(d='//', t='events')}), q AS (SELECT frame, x, y, {_Y} AS l, {_CB} AS cb, {_CR} AS cr FROM p),
 pl AS (SELECT frame, 'Y' AS plane, x, y, l AS v FROM q UNION ALL SELECT frame, 'Cb', x // 2, y // 2, cb FROM q WHERE x % 2 = 0 AND y % 2 = 0 UNION ALL SELECT frame, 'Cr', x // 2, y // 2, cr FROM q WHERE x % 2 = 0 AND y % 2 = 0)"""
 _register("colour_planes", lambda s, d: _long(media.planes(_pixels(s, d)), "v"), f"{_PLANES} SELECT * FROM pl")
 _register(
@@ -510,6 +579,25 @@ def _blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 _register("fs_blocks", _blocks, "SELECT doc_id, (strlen(coalesce(text, '')) + 511) // 512 AS n_blocks FROM documents")
 
 
+def _stat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    inodes, _ = _tree(spark, sf_dir)
+    return filesystem.stat(inodes, 1).select("ino", "kind", F.col("mode").cast("long").alias("mode"), "size")
+
+
+_register("fs_stat", _stat, "SELECT CAST(1 AS BIGINT) AS ino, 'file' AS kind, CAST(420 AS BIGINT) AS mode, strlen(coalesce(text, '')) AS size FROM documents WHERE doc_id = 0")
+
+
+def _first_free(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files take 128 places each from the first on, filled from the front."""
+    inodes, _ = _tree(spark, sf_dir)
+    held = filesystem.allocated(inodes).filter("n_blocks > 0").select("ino", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_blocks") - 1)).alias("place"))
+    blocks = held.select(((F.col("ino") - 1) * 128 + F.col("place")).alias("block"), "ino", "place")
+    return filesystem.first_free(blocks, 1 << 16, spark)
+
+
+_register("fs_first_free", _first_free, "WITH h AS (SELECT doc_id * 128 + unnest(range((strlen(coalesce(text, '')) + 511) // 512)) AS block FROM documents) SELECT min(range) AS block FROM range(65536) WHERE range NOT IN (SELECT block FROM h)")
+
+
 # ---- streams -------------------------------------------------------------------------------------------------------------
 
 def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -55,5 +55,19 @@ def route(sizes: DataFrame) -> DataFrame:
     return sizes.withColumn("platter", F.when(F.col("encoded") < F.floor(F.col("size") * 3 / 4), 0).otherwise(1).cast("int"))
 
 
+def write_image(path: str, inodes: DataFrame, entries: DataFrame, data: DataFrame, blocks: DataFrame, mode: str = "errorifexists") -> None:
+    """The store as five tables: inodes, entries, files in structured (0) and in raw form (1), and held blocks. ``data`` has a column platter."""
+    parts = {"inodes": inodes, "entries": entries, "structured": data.filter("platter = 0").drop("platter"), "raw": data.filter("platter = 1").drop("platter"), "blocks": blocks}
+    for name, table in parts.items():
+        table.write.mode(mode).parquet(f"{path}/{name}")
+
+
+def read_image(spark: SparkSession, path: str) -> dict[str, DataFrame]:
+    """inodes, entries, data (with platter) and blocks of an image."""
+    read = lambda name: spark.read.parquet(f"{path}/{name}")
+    data = read("structured").withColumn("platter", F.lit(0)).unionByName(read("raw").withColumn("platter", F.lit(1)))
+    return {"inodes": read("inodes"), "entries": read("entries"), "data": data, "blocks": read("blocks")}
+
+
 def stats(routed: DataFrame) -> DataFrame:
     return routed.groupBy("platter").agg(F.count(F.lit(1)).alias("files"), F.sum("size").cast("long").alias("bytes"), F.sum(F.when(F.col("platter") == 0, F.col("encoded")).otherwise(F.col("size"))).cast("long").alias("stored"))

@@ -89,6 +89,13 @@ def gated_chunk(length: Column) -> Column:
     return F.when(length > CHUNK_GATE, F.lit(GATED_CHUNK)).otherwise(length).cast("long")
 
 
+def sections(signal: DataFrame, named: DataFrame) -> DataFrame:
+    """The named sections (section, start, length) of each signal as signals of their own: (blob, section, pos, v). Sections may
+    overlap; values that are in none are left out. ``named`` is a short table."""
+    inside = (F.col("pos") >= F.col("start")) & (F.col("pos") < F.col("start") + F.col("length"))
+    return signal.join(named, inside).select("blob", "section", (F.col("pos") - F.col("start")).alias("pos"), "v")
+
+
 def chunked(signal: DataFrame, size: Column | int) -> DataFrame:
     """Independent chunks: the chunk joins the blob's key and positions start anew."""
     size = F.lit(size) if isinstance(size, int) else size

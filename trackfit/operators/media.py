@@ -25,8 +25,8 @@ def pixels16(low: Column, high: Column) -> Column:
 def fit_rows(rows: DataFrame, q: float) -> DataFrame:
     """(keys, v) with kind and params: the first of CONST, LINEAR, POLY2 and POLY3 that is within q of every pixel, else RAW.
 
-    CONST and LINEAR are sums over the row's array in the JVM. Only rows that neither fits go to Arrow, for the
-    least-squares curves over x = i / n.
+    CONST and LINEAR are sums over the row's array in the JVM. The rows that neither fits get least-squares curves over
+    x = i / n in Arrow batches, which the others pass through untouched; rows are read once.
     """
     keys = [c for c in rows.columns if c != "v"]
     n = F.size("v")
@@ -42,11 +42,11 @@ def fit_rows(rows: DataFrame, q: float) -> DataFrame:
     kind = F.when(F.col("e_const") <= q, "CONST").when(F.col("e_line") <= q, "LINEAR")
     params = F.when(F.col("e_const") <= q, F.array(F.round("mean"))).when(F.col("e_line") <= q, F.array("icept", "slope"))
     known = r.withColumns({"kind": kind, "params": params}).select(*keys, "v", "kind", "params")
-    done, rest = known.filter(F.col("kind").isNotNull()), known.filter(F.col("kind").isNull()).drop("kind", "params")
-    return done.unionByName(_curves(rest, q))
+    return _curves(known, q)
 
 
 def _curves(rows: DataFrame, q: float) -> DataFrame:
+    """Fill in kind and params of rows (..., v, kind, params) where kind is null."""
     place = rows.columns.index("v")
 
     def fit(v: np.ndarray) -> tuple[str, list[float]]:
@@ -64,10 +64,12 @@ def _curves(rows: DataFrame, q: float) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [fit(np.array(x.as_py(), float)) for x in batch.column(place)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([k for k, _ in found], pa.string()), pa.array([p for _, p in found], pa.list_(pa.float64()))], [*batch.schema.names, "kind", "params"])
+            kind, params = batch.column(place + 1).to_pylist(), batch.column(place + 2).to_pylist()
+            for i in (i for i, k in enumerate(kind) if k is None):
+                kind[i], params[i] = fit(np.array(batch.column(place)[i].as_py(), float))
+            yield pa.RecordBatch.from_arrays([*batch.columns[: place + 1], pa.array(kind, pa.string()), pa.array(params, pa.list_(pa.float64()))], batch.schema.names)
 
-    return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField("kind", T.StringType()), T.StructField("params", T.ArrayType(T.DoubleType()))]))
+    return rows.mapInArrow(run, rows.schema)
 
 
 def rebuild_rows(fits: DataFrame, n: Column, top: int = 255) -> DataFrame:
@@ -157,18 +159,17 @@ def motion(frames: DataFrame, reach: int = REACH, block: int = MACROBLOCK) -> Da
     def search(pdf: pd.DataFrame) -> pd.DataFrame:
         out = []
         for key, w, h, cur, ref in pdf[["key", "width", "height", "cur", "ref"]].itertuples(index=False):
-            a, b = (np.asarray(x, np.int64).reshape(h, w) for x in (cur, ref))
+            a, b = (np.asarray(x, np.int16).reshape(h, w) for x in (cur, ref))
             for by in range(0, h, block):
                 for bx in range(0, w, block):
                     part = a[by : by + block, bx : bx + block]
                     ph, pw = part.shape
-                    best = None
-                    for dy in range(max(-reach, -by), min(reach, h - by - ph) + 1):
-                        for dx in range(max(-reach, -bx), min(reach, w - bx - pw) + 1):
-                            sad = int(np.abs(part - b[by + dy : by + dy + ph, bx + dx : bx + dx + pw]).sum())
-                            if best is None or sad < best[2]:
-                                best = (dx, dy, sad)
-                    out.append((key, bx // block, by // block, *best))
+                    top, left = max(-reach, -by), max(-reach, -bx)
+                    near = b[by + top : by + min(reach, h - by - ph) + ph, bx + left : bx + min(reach, w - bx - pw) + pw]
+                    # Every offset at once: rows by dy, columns by dx, so the first least one is first by dy, then dx.
+                    sad = np.abs(np.lib.stride_tricks.sliding_window_view(near, (ph, pw)) - part).sum(axis=(2, 3), dtype=np.int64)
+                    dy, dx = np.unravel_index(sad.argmin(), sad.shape)
+                    out.append((key, bx // block, by // block, int(dx) + left, int(dy) + top, int(sad[dy, dx])))
         return pd.DataFrame(out, columns=["key", "bx", "by", "dx", "dy", "sad"])
 
     return frames.mapInPandas(lambda it: (search(x) for x in it), "key long, bx long, by long, dx long, dy long, sad long")

@@ -6,12 +6,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 FOUND = T.StructType([T.StructField("ints", T.ArrayType(T.LongType())), T.StructField("reals", T.ArrayType(T.DoubleType())), T.StructField("cost", T.LongType())])
 
 
+FLOAT_NAMES = ["LINEAR_F64", "DELTA_F64", "PERIODIC", "POLY", "EXPONENTIAL"]
+
+
 def f64_words(v: np.ndarray) -> np.ndarray | None:
     if len(v) < 16 or len(v) % 8:
         return None
@@ -150,7 +154,12 @@ def rebuild_floats(encodings: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = [values(p, s, i, r) for p, s, i, r in zip(*(batch.column(place[c]).to_pylist() for c in ("pattern", "s", "ints", "reals")))]
+            mine = pc.fill_null(pc.is_in(batch.column(place["pattern"]), pa.array(FLOAT_NAMES)), False)
+            some = batch.filter(mine)
+            found = [values(p, s, i, r) for p, s, i, r in zip(*(some.column(place[c]).to_pylist() for c in ("pattern", "s", "ints", "reals")))]
+            out: list[list[int] | None] = [None] * batch.num_rows
+            for k, v in zip(np.flatnonzero(mine.to_numpy(zero_copy_only=False)), found):
+                out[k] = v
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.list_(pa.int32()))], [*batch.schema.names, "v"])
 
     return encodings.mapInArrow(run, T.StructType([*encodings.schema.fields, T.StructField("v", T.ArrayType(T.IntegerType()))]))

@@ -58,11 +58,10 @@ def integer_values() -> Column:
 
 
 def rebuild(encodings: DataFrame) -> DataFrame:
-    """``encodings`` with their values ``v``. Only float patterns go through Arrow."""
+    """``encodings`` with their values ``v``, read once: float patterns are rebuilt in Arrow batches, which the others pass through untouched."""
     other = [c for c in encodings.columns if c != "v"]
     kinds = F.col("pattern").isin(*detect.FLOAT_PATTERNS)
-    plain = encodings.select(*other).filter(~kinds).withColumn("v", integer_values())
-    return plain.unionByName(numeric.rebuild_floats(encodings.select(*other).filter(kinds)))
+    return numeric.rebuild_floats(encodings.select(*other)).withColumn("v", F.when(kinds, F.col("v")).otherwise(integer_values()))
 
 
 def cells(rebuilt: DataFrame, keys: list[str]) -> DataFrame:

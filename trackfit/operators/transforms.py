@@ -71,6 +71,64 @@ def _invert(last: str) -> str:
     return "".join(out)
 
 
+def _deflate(b: bytes) -> bytes:
+    c = zlib.compressobj(9, zlib.DEFLATED, -15)
+    return c.compress(b) + c.flush()
+
+
+def pack_bytes(b: bytes, raw: str = "best") -> tuple[int, bytes]:
+    """(method, bytes): the fallback of one raw track. ``raw`` is none, zlib, zstd or best; bytes of 150 kinds and more are deflated
+    only, and what gets no shorter stays as it is."""
+    import zstandard
+
+    tries = []
+    if raw in ("zlib", "best") or (raw == "zstd" and len(set(b)) >= GATE_KINDS):
+        tries.append((METHODS["deflate"], _deflate(b)))
+    if raw in ("zstd", "best") and len(set(b)) < GATE_KINDS:
+        tries.append((METHODS["zstd"], zstandard.ZstdCompressor(level=19).compress(b)))
+    method, packed = min(tries, key=lambda x: (len(x[1]), x[0]), default=(METHODS["none"], b))
+    return (method, packed) if len(packed) < len(b) else (METHODS["none"], b)
+
+
+def unpack_bytes(method: int, packed: bytes) -> bytes:
+    import zstandard
+
+    if method == METHODS["deflate"]:
+        return zlib.decompress(packed, -15)
+    return zstandard.ZstdDecompressor().decompress(packed) if method == METHODS["zstd"] else packed
+
+
+def pack_raw(encodings: DataFrame, raw: str = "best") -> DataFrame:
+    """``encodings`` with method and packed: the values of raw tracks go from ints to bytes, compressed where that is shorter.
+    Other tracks pass untouched, with both null."""
+    names = ["pattern", "ints"]
+    place = [encodings.columns.index(n) for n in names]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            pattern, ints = (batch.column(p).to_pylist() for p in place)
+            found = [pack_bytes(bytes(v), raw) if k == "RAW" else (None, None) for k, v in zip(pattern, ints)]
+            left = pa.array([None if k == "RAW" else v for k, v in zip(pattern, ints)], pa.list_(pa.int64()))
+            out = batch.set_column(place[1], "ints", left)
+            yield pa.RecordBatch.from_arrays([*out.columns, pa.array([m for m, _ in found], pa.int32()), pa.array([b for _, b in found], pa.binary())], [*out.schema.names, "method", "packed"])
+
+    return encodings.mapInArrow(run, T.StructType([*encodings.schema.fields, T.StructField("method", T.IntegerType()), T.StructField("packed", T.BinaryType())]))
+
+
+def unpack_raw(encodings: DataFrame) -> DataFrame:
+    """The inverse of ``pack_raw``."""
+    kept = [c for c in encodings.columns if c not in ("method", "packed")]
+    place = {c: encodings.columns.index(c) for c in (*kept, "method", "packed")}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            method, packed, ints = (batch.column(place[c]).to_pylist() for c in ("method", "packed", "ints"))
+            back = pa.array([v if m is None else list(unpack_bytes(m, b)) for m, b, v in zip(method, packed, ints)], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([back if c == "ints" else batch.column(place[c]) for c in kept], kept)
+
+    return encodings.mapInArrow(run, T.StructType([encodings.schema[c] for c in kept]))
+
+
 def compressed_sizes(rows: DataFrame, binary: str = "content") -> DataFrame:
     """Add raw_bytes, kinds, deflate_bytes, zstd_bytes, bz2_bytes, lzma_bytes, zlib_bytes, in Arrow batches. Brotli isn't available here."""
     import zstandard
@@ -78,17 +136,13 @@ def compressed_sizes(rows: DataFrame, binary: str = "content") -> DataFrame:
     place = rows.columns.index(binary)
     names = ["raw_bytes", "kinds", "deflate_bytes", "zstd_bytes", "bz2_bytes", "lzma_bytes", "zlib_bytes"]
 
-    def deflate(b: bytes) -> bytes:
-        c = zlib.compressobj(9, zlib.DEFLATED, -15)
-        return c.compress(b) + c.flush()
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         z = zstandard.ZstdCompressor(level=19)
         for batch in batches:
             got = []
             for x in batch.column(place):
                 b = x.as_py() or b""
-                got.append((len(b), len(set(b)), len(deflate(b)), len(z.compress(b)), len(bz2.compress(b)), len(lzma.compress(b)), len(zlib.compress(b, 9))))
+                got.append((len(b), len(set(b)), len(_deflate(b)), len(z.compress(b)), len(bz2.compress(b)), len(lzma.compress(b)), len(zlib.compress(b, 9))))
             yield pa.RecordBatch.from_arrays([*batch.columns, *map(pa.array, np.array(got, np.int64).reshape(-1, len(names)).T)], [*batch.schema.names, *names])
 
     return rows.mapInArrow(run, T.StructType([*rows.schema.fields, *(T.StructField(n, T.LongType()) for n in names)]))

@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import math
+import re
 import struct
 
+from pyspark.sql import DataFrame
+
 from trackfit.functions.dialect import SPARK, Spark
 
 
@@ -77,8 +80,21 @@ def families(s: Spark = SPARK) -> dict[str, tuple[int, str]]:
     return known
 
 
+def cells(events: DataFrame, names: list[str], near_miss: bool = True) -> DataFrame:
+    """(family, n, track, i, v) for each event and family, from one scan of ``events``. In every fifth track one value is changed: the near miss."""
+    rows = []
+    for name in names:
+        n, value = families(SPARK)[name]
+        place, track = f"(event_id % {n})", f"(event_id div {n})"
+        v = "cast(" + re.sub(r"\b[it]\b", lambda m: place if m[0] == "i" else track, value) + " as int)"
+        if near_miss:
+            v = f"if({track} % 5 = 4 and {place} = {n // 2 + 1}, {SPARK.xor(v, 5)}, {v})"
+        rows.append(f"struct('{name}' as family, {n} as n, {track} as track, {place} as i, {v} as v)")
+    return events.select("event_id").selectExpr(f"inline(array({', '.join(rows)}))")
+
+
 def cells_sql(s: Spark, names: list[str], near_miss: bool = True) -> str:
-    """(family, n, track, i, v) over events.event_id. In every fifth track one value is changed: the near miss."""
+    """The same in SQL, a select for each family."""
     parts = []
     for name in names:
         n, value = families(s)[name]
