@@ -31,7 +31,7 @@ SEED = 20
 SLOTS = 256
 #: Sharpness of the score over cosines.
 SHARPNESS = 20.0
-CHUNK_CHARS, BLOCK = 1 << 20, 4096
+CHUNK_CHARS, CHUNK_TEXTS, BLOCK = 1 << 20, 1024, 4096
 UNKNOWN = "und"
 
 
@@ -75,7 +75,7 @@ def _chunks(column: pa.Array) -> Iterator[tuple[int, list[str]]]:
         text = value.as_py() or ""
         part.append(text)
         size += len(text)
-        if size >= CHUNK_CHARS:
+        if size >= CHUNK_CHARS or len(part) >= CHUNK_TEXTS:
             yield start, part
             start, part, size = i + 1, [], 0
     if part:
