@@ -63,3 +63,36 @@ def test_heads(spark, tmp_path):
     assert (r["length"], r["s"]) == (len(DATA), 0) and r["entries"] == store.from_containers(df).count()
     with pytest.raises(ValueError):
         store.unpack((tmp_path / "x.bin.tfit").read_bytes())
+
+
+@pytest.mark.parametrize("raw", ["none", "zlib", "zstd", "best", "nonsense"])
+def test_raw_tracks_of_a_file(spark, tmp_path, raw):
+    data = bytes(random.Random(k).choice(b"abcdefgh~") for k in range(2000))
+    there_and_back(tmp_path, data, "--raw", raw)
+
+
+def test_raw_fallback_within_the_container():
+    rng = random.Random(1)
+    entries = [(0, "RAW", [rng.choice([7, 9, 200]) for _ in range(512)], None), (1, "RAW", [rng.randrange(256) for _ in range(64)], None), (2, "CONST", [5], None)]
+    sizes = {}
+    for raw in ("none", "zlib", "zstd", "best"):
+        plain = b"".join(store._entries(entries, raw))
+        sizes[raw] = len(plain)
+        assert [(t, p, v) for t, p, v, _ in store._read_entries(plain, 0, 3)[1]] == [(t, p, v) for t, p, v, _ in entries]
+    assert sizes["best"] == min(sizes.values()) < sizes["none"] - 300
+
+
+def test_standard_output_test_and_empty_files(spark, tmp_path, capfdbinary):
+    (tmp_path / "x.bin").write_bytes(DATA)
+    assert api.main([f"{tmp_path}/x.bin", "-c", "-k"]) == 0
+    content = capfdbinary.readouterr().out
+    assert (tmp_path / "x.bin").exists() and not (tmp_path / "x.bin.tfit").exists()
+    (tmp_path / "x.bin.tfit").write_bytes(content)
+    assert api.main([f"{tmp_path}/x.bin.tfit", "-c"]) == 0
+    assert capfdbinary.readouterr().out == DATA
+    assert api.main([f"{tmp_path}/x.bin.tfit", "-t"]) == 0
+    (tmp_path / "empty.bin").write_bytes(b"")
+    assert api.main([f"{tmp_path}/empty.bin", "-v"]) == 0
+    (tmp_path / "empty.bin").unlink()
+    assert api.main([f"{tmp_path}/empty.bin.tfit", "-d"]) == 0
+    assert (tmp_path / "empty.bin").read_bytes() == b""

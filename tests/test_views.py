@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from trackfit import api
-from trackfit.operators import access, filesystem, media, transforms
+from trackfit.operators import access, filesystem, media, transforms, video
 from trackfit.plans import cascade, report
 from trackfit.sources import signals, store
 from trackfit.streaming import chunks
@@ -109,6 +109,59 @@ def test_motion_finds_a_shift_and_compensates(spark):
     assert all(r["v"] == 128 for r in media.compensate(cells, vectors.filter("bx < 0")).collect())
 
 
+def moving(n, w=32, h=32, seed=5):
+    rng = np.random.default_rng(seed)
+    base = rng.integers(0, 256, (h + 40, w + 40))
+    rows = []
+    for f in range(n):
+        y = base[f % 9 : f % 9 + h, 2 * (f % 5) : 2 * (f % 5) + w] // (1 + (f == 6))
+        for p, a in (("Y", y), ("Cb", y[::2, ::2] // 2 + 40), ("Cr", y[1::2, ::2] // 3)):
+            rows.append(("v", f, p, a.shape[1], a.shape[0], a.ravel().tolist()))
+    return rows
+
+
+@pytest.mark.parametrize(("n", "gop"), [(1, 4), (4, 4), (10, 4), (9, 8), (5, 1)])
+def test_video_without_loss_where_residuals_fit(spark, n, gop):
+    """With q = 0 a frame comes back exactly but for residuals beyond 127; the reader and the writer predict from the same."""
+    rows = moving(n)
+    coded = video.encode(spark.createDataFrame(rows, video.DECODED), gop, 0.0)
+    got = {(r["frame"], r["plane"]): r["a"] for r in video.decode(coded, gop).collect()}
+    assert set(got) == {(f, p) for _, f, p, *_ in rows}
+    kinds = {r["frame"]: r["kind"] for r in coded.select("frame", "kind").distinct().collect()}
+    want = {r["frame"]: r["kind"] for r in media.frame_kinds(spark.range(n).withColumnRenamed("id", "frame").withColumn("last_frame", F.lit(n - 1)), gop).collect()}
+    assert kinds == want
+    for _, f, p, _, _, a in rows:
+        if kinds[f] == "I":
+            assert got[f, p] == a
+        wrong = np.abs(np.array(got[f, p]) - a)
+        assert (wrong == 0).mean() > 0.6
+
+
+def test_video_errors_do_not_add_up(spark):
+    """Smooth frames whose residuals fit a byte: every frame is within q and rounding of its source, however late in its group."""
+    rows = []
+    for f in range(16):
+        y, x = np.mgrid[0:32, 0:32]
+        for p, step in (("Y", 1), ("Cb", 2), ("Cr", 2)):
+            a = (60 + 2 * x + y + 3 * f + (x * y + f) % 3)[::step, ::step]
+            rows.append(("v", f, p, a.shape[1], a.shape[0], a.ravel().tolist()))
+    coded = video.encode(spark.createDataFrame(rows, video.DECODED), 16, 2.0).cache()
+    got = {(r["frame"], r["plane"]): r["a"] for r in video.decode(coded, 16).collect()}
+    assert max(np.abs(np.array(got[f, p]) - a).max() for _, f, p, _, _, a in rows) <= 3
+    sizes = {r["kind"]: r["numbers"] for r in video.size_of(coded).collect()}
+    assert set(sizes) == {"I", "P"} and sum(sizes.values()) < sum(len(a) for *_, a in rows) / 2
+
+
+def test_row_rule_equals_the_dataframe_rule(spark):
+    rng = np.random.default_rng(3)
+    x = np.arange(40)
+    rows = [[9] * 40, [7 + 3 * i for i in range(40)], (x * x // 9).tolist(), (x * x * x // 300).tolist(), rng.integers(0, 256, 40).tolist(), [5, 6, 5, 6] * 10]
+    fits = media.fit_rows(spark.createDataFrame([(k, v) for k, v in enumerate(rows)], "k int, v array<int>"), 1.5).orderBy("k").collect()
+    for r, v in zip(fits, rows):
+        kind, params = video.fit_row(np.array(v, float), 1.5)
+        assert kind == r["kind"] and np.allclose(params, r["params"], atol=1e-6)
+
+
 def test_sound_frames_rebuild(spark):
     s = spark.createDataFrame([("a", i, i % 7) for i in range(1000)], "audio_id string, pos long, v int")
     rows = media.frame_rows(media.audio_frames(s, 40, 2)).orderBy("frame").collect()

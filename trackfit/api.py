@@ -6,6 +6,7 @@ import argparse
 import os
 import re
 import sys
+from contextlib import nullcontext
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -81,6 +82,10 @@ def stride_choices(signal: DataFrame, lengths: DataFrame, stride: int = 0) -> Da
     return search.stride_candidates(search.stride_scores(signal, lengths), lengths)
 
 
+#: Fallbacks of raw tracks by the names of --raw; any other name means best.
+RAW_NAMES = {"none": "none", "fast": "zlib", "zlib": "zlib", "good": "zstd", "zstd": "zstd", "brotli": "best", "best": "best"}
+
+
 def main(argv: list[str] | None = None) -> int:
     p = argparse.ArgumentParser(prog="trackfit", description=__doc__)
     p.add_argument("files", nargs="*")
@@ -90,6 +95,11 @@ def main(argv: list[str] | None = None) -> int:
     p.add_argument("-r", "--record", type=int, help="turn records of so many bytes to columns first; with -b the only stride tried")
     p.add_argument("-C", "--chunk", type=parse_size, help="chunk size, with k, m or g; with -b the only one tried. Files over 1 MiB are cut at 64 KiB without -r, -C and -b")
     p.add_argument("-b", "--best", action="store_true", help="search strides and chunks too and encode by the best")
+    p.add_argument("-k", "--keep", action="store_true", help="keep the input; it is always kept")
+    p.add_argument("-c", "--stdout", action="store_true", help="write to standard output")
+    p.add_argument("-v", "--verbose", action="store_true", help="say what was done, on standard error")
+    p.add_argument("--raw", default="none", help="compress raw tracks one by one: fast or zlib, good or zstd, best (brotli, which isn't available here, and unknown names mean best); none, as a container is deflated as a whole where that is shorter")
+    p.add_argument("--no-zlib", action="store_true", help="the same as --raw none")
     p.add_argument("-j", "--threads", type=parse_threads, default=parse_threads("all"))
     p.add_argument("--analyze", action="store_true")
     p.add_argument("--visualize", action="store_true")
@@ -100,9 +110,18 @@ def main(argv: list[str] | None = None) -> int:
             e = store.from_containers(spark.read.format("binaryFile").load(path).select(F.col("path").alias("blob"), "content")).cache()
             lengths = e.select("blob", "length").distinct()
             values = restore(e, lengths).orderBy("pos").select("v").toLocalIterator()
-            with open(path.removesuffix(store.SUFFIX) + ("" if path.endswith(store.SUFFIX) else ".out"), "wb" if a.force else "xb") as f:
+            if a.test:  # the container can be read and no value is missing
+                n, want = sum(1 for _ in values), sum(r["length"] for r in lengths.collect())
+                print(path, "ok" if n == want else f"{want - n} values are missing")
+                if n != want:
+                    return 1
+                continue
+            target = path.removesuffix(store.SUFFIX) + ("" if path.endswith(store.SUFFIX) else ".out")
+            with nullcontext(sys.stdout.buffer) if a.stdout else open(target, "wb" if a.force else "xb") as f:
                 for r in values:
                     f.write(bytes([r["v"]]))
+            if a.verbose:
+                print(f"{path}: restored", file=sys.stderr)
             continue
         arrays = signals.from_files(spark, path).cache()
         lengths = arrays.select("blob", F.size("a").cast("long").alias("length"))
@@ -118,7 +137,7 @@ def main(argv: list[str] | None = None) -> int:
             stride, chunk = (best["setting"] if best and best["mode"] == mode else 0 for mode in ("stride", "chunk"))
         elif not stride and not chunk:
             n = arrays.select(F.size("a").alias("n"), layout.gated_chunk(F.size("a")).alias("chunk")).first()
-            chunk = n["chunk"] if n["chunk"] < n["n"] else 0
+            chunk = n["chunk"] if n and n["chunk"] < n["n"] else 0  # no row: an empty file
         encodings = fit_as(signal, lengths, stride, chunk).cache()
         if a.visualize:
             with open(path + ".svg", "w" if a.force else "x") as f:
@@ -129,9 +148,13 @@ def main(argv: list[str] | None = None) -> int:
             if wrong:
                 return 1
         else:
-            content = store.to_containers(encodings, lengths).first()["content"]
-            with open(path + store.SUFFIX, "wb" if a.force else "xb") as f:
+            found = store.to_containers(encodings, lengths, "none" if a.no_zlib else RAW_NAMES.get(a.raw, "best")).first()
+            content = found["content"] if found else store.pack([], 0, layout.CANDIDATES[0])  # an empty file has no track
+            with nullcontext(sys.stdout.buffer) if a.stdout else open(path + store.SUFFIX, "wb" if a.force else "xb") as f:
                 f.write(content)
+            if a.verbose:
+                n = os.path.getsize(path)
+                print(f"{path}: {n} to {len(content)} bytes, {100 * len(content) / max(1, n):.1f} %, stride {stride}, chunk {chunk}", file=sys.stderr)
     return 0
 
 

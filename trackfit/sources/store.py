@@ -2,7 +2,7 @@
 
 The dataset keeps one row per track, partitioned by platter, with all keys in full width. The container is one binary value
 per blob: magic, version, length, track length and entries of (track, tag, parameters) in little-endian order, deflated
-where that is shorter. Version 2 is for blobs turned by a stride or cut to chunks: its head also has the stride, the chunk size
+where that is shorter; raw tracks may have been compressed one by one before. Version 2 is for blobs turned by a stride or cut to chunks: its head also has the stride, the chunk size
 (0: none) and the number of chunks, and each chunk has a track length of its own.
 """
 
@@ -17,12 +17,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trackfit.operators.detect import TAGS
+from trackfit.operators.transforms import pack_bytes, unpack_bytes
 from trackfit.plans.cascade import platter
 
 MAGIC = b"TFIT"
 SUFFIX = ".tfit"
 _HEAD, _ENTRY = "<4sBQIQ", "<QBII"
-_MORE, _CHUNK = "<IQQ", "<QIQ"  # stride, chunk size, chunks; chunk, track length, entries
+_MORE, _CHUNK, _PACKED = "<IQQ", "<QIQ", "<BI"  # stride, chunk size, chunks; chunk, track length, entries; method, bytes
 
 
 def write_encodings(encodings: DataFrame, path: str, mode: str = "errorifexists") -> None:
@@ -52,10 +53,15 @@ def size_bound(length: Column) -> Column:
 Entry = tuple[int, str, list[int], list[float] | None]
 
 
-def _entries(blob: list[Entry]) -> list[bytes]:
+def _entries(blob: list[Entry], raw: str = "none") -> list[bytes]:
+    """With ``raw``, the values of raw tracks are compressed where that is shorter: flag 2, the method, its length and bytes."""
     out = []
     for track, pattern, ints, reals in blob:
         reals = [] if reals is None else list(reals)
+        if pattern == "RAW" and raw != "none":
+            method, packed = pack_bytes(bytes(ints), raw)
+            out.append(struct.pack(_ENTRY, track, TAGS[pattern], len(ints), 0) + b"\2" + struct.pack(_PACKED, method, len(packed)) + packed)
+            continue
         out.append(struct.pack(_ENTRY, track, TAGS[pattern], len(ints), len(reals)))
         small = all(0 <= x < 256 for x in ints)
         out.append(b"\1" + bytes(ints) if small else b"\0" + struct.pack(f"<{len(ints)}q", *ints))
@@ -69,16 +75,16 @@ def _deflated(out: list[bytes]) -> bytes:
     return b"Z" + packed if len(packed) < len(plain) else b"P" + plain
 
 
-def pack(blob: list[Entry], length: int, s: int) -> bytes:
-    return _deflated([struct.pack(_HEAD, MAGIC, 1, length, s, len(blob)), *_entries(blob)])
+def pack(blob: list[Entry], length: int, s: int, raw: str = "none") -> bytes:
+    return _deflated([struct.pack(_HEAD, MAGIC, 1, length, s, len(blob)), *_entries(blob, raw)])
 
 
-def pack_parts(parts: list[tuple[int, int, list[Entry]]], length: int, stride: int, chunk: int) -> bytes:
+def pack_parts(parts: list[tuple[int, int, list[Entry]]], length: int, stride: int, chunk: int, raw: str = "none") -> bytes:
     """A container of version 2; parts are (chunk_id, s, entries). The head's track length is 0 where there are more parts than one."""
     s = parts[0][1] if len(parts) == 1 else 0
     out = [struct.pack(_HEAD, MAGIC, 2, length, s, sum(len(e) for _, _, e in parts)), struct.pack(_MORE, stride, chunk, len(parts))]
     for chunk_id, s, entries in parts:
-        out += [struct.pack(_CHUNK, chunk_id, s, len(entries)), *_entries(entries)]
+        out += [struct.pack(_CHUNK, chunk_id, s, len(entries)), *_entries(entries, raw)]
     return _deflated(out)
 
 
@@ -89,6 +95,12 @@ def _read_entries(plain: bytes, at: int, n: int) -> tuple[int, list[tuple[int, s
         at += struct.calcsize(_ENTRY)
         small = plain[at]
         at += 1
+        if small == 2:
+            method, size = struct.unpack_from(_PACKED, plain, at)
+            at += struct.calcsize(_PACKED)
+            out.append((track, names[tag], list(unpack_bytes(method, plain[at : at + size])), []))
+            at += size
+            continue
         ints = list(plain[at : at + ni]) if small else list(struct.unpack_from(f"<{ni}q", plain, at))
         at += ni if small else 8 * ni
         reals = list(struct.unpack_from(f"<{nr}d", plain, at))
@@ -123,10 +135,11 @@ def unpack(data: bytes) -> tuple[int, int, list[tuple[int, str, list[int], list[
     return length, *parts[0][1:]
 
 
-def to_containers(encodings: DataFrame, lengths: DataFrame) -> DataFrame:
+def to_containers(encodings: DataFrame, lengths: DataFrame, raw: str = "none") -> DataFrame:
     """(blob, content) of encodings (blob, s, track, pattern, ints, reals); one container holds one blob, as a file does.
 
-    With stride, chunk and chunk_id too (those of ``api.fit_as``) the container tells how to undo them."""
+    With stride, chunk and chunk_id too (those of ``api.fit_as``) the container tells how to undo them. ``raw`` is the fallback for raw
+    tracks: none, zlib, zstd or best."""
     entry = F.sort_array(F.collect_list(F.struct("track", "pattern", "ints", "reals"))).alias("e")
     if "chunk_id" in encodings.columns:
         parts = encodings.groupBy("blob", "stride", "chunk", "chunk_id", "s").agg(entry)
@@ -137,7 +150,7 @@ def to_containers(encodings: DataFrame, lengths: DataFrame) -> DataFrame:
 
     def content(parts: list, length: int, stride: int, chunk: int) -> bytes:
         plain = [(int(p["chunk_id"]), int(p["s"]), [(r["track"], r["pattern"], list(r["ints"]), r["reals"]) for r in p["e"]]) for p in parts]
-        return pack_parts(plain, length, stride, chunk) if stride or chunk else pack(plain[0][2], length, plain[0][1])
+        return pack_parts(plain, length, stride, chunk, raw) if stride or chunk else pack(plain[0][2], length, plain[0][1], raw)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
