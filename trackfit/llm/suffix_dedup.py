@@ -36,7 +36,7 @@ from trackfit.llm.common import RID, durable, keyed, table
 
 WINDOW, GRAM = 400, 8
 #: Members of a core that one task takes, of a merged collection, and of a shard.
-HOT, COLLECTION, SHARD = 2_048, 8_192, 4_096
+HOT, COLLECTION, SHARD = 8_192, 8_192, 4_096
 CHUNK_BYTES = 1 << 20
 #: No UTF-8 text has this byte; it stands where a member has none.
 NOTHING = 0xFF
