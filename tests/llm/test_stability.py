@@ -32,8 +32,8 @@ def unsettled(spark, monkeypatch):
     def change():
         spark.conf.set("spark.sql.leafNodeDefaultParallelism", str(7 * next(steps)))
 
-    def durable(df, label, done=()):
-        out = common_durable(df, label, done)
+    def durable(*args, **named):
+        out = common_durable(*args, **named)
         change()
         return out
 
@@ -136,6 +136,17 @@ def test_intermediate_tables_are_deleted(many_files, tmp_path, monkeypatch):
     assert left <= {"suffix-rows", "suffix-repeated", "suffix-runs", "suffix-hot", "suffix-hot-runs", "suffix-owners"}, left
 
 
+def test_known_sizes_give_few_files(spark, monkeypatch):
+    rows = spark.range(0, 1000, 1, 7)
+    assert len(common.durable(rows, "files").inputFiles()) == 7
+    assert len(common.durable(rows, "files", rows=1000).inputFiles()) == 1
+    monkeypatch.setattr(common, "FILE_ROWS", 300)
+    for bound in (0, 1000, 10**6):  # a wrong bound loses no row
+        stored = common.durable(rows, "files", rows=bound)
+        assert len(stored.inputFiles()) == min(7, max(1, -(-bound // 300)))
+        assert sorted(r["id"] for r in stored.collect()) == list(range(1000))
+
+
 def test_folder_where_none_is_set(monkeypatch):
     class Session:
         conf = {}

@@ -19,6 +19,9 @@ LOWER = "abcdefghijklmnopqrstuvwxyz"
 #: Rows of two longs that may be broadcast; beyond it joins shuffle. 500,000 rows are about 20 MB as a hash relation.
 BROADCAST_ROWS = 500_000
 
+#: Rows of a file, and so of a task, where the number of rows is known beforehand.
+FILE_ROWS = 65_536
+
 #: Name of the row key that operators add. It stands for a row, where doc_id may be null or repeated.
 RID = "_rid"
 
@@ -44,13 +47,16 @@ def shared_dir(spark: SparkSession) -> str:
     return _own_dir()
 
 
-def durable(df: DataFrame, label: str, done: Iterable[DataFrame] = ()) -> DataFrame:
+def durable(df: DataFrame, label: str, done: Iterable[DataFrame] = (), rows: int | None = None) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: it cuts the lineage, and lost executors cost nothing.
 
     The stored tables ``done`` are deleted then: nothing that is still to run may read them. A table whose writing fails is
-    deleted too. What a returned plan reads stays; whoever owns the folder empties it.
+    deleted too. What a returned plan reads stays; whoever owns the folder empties it. ``rows`` is a number of rows that ``df``
+    is known not to exceed: it comes in a file for each ``FILE_ROWS`` of these, not in one for every shuffle partition.
     """
     spark = df.sparkSession
+    if rows is not None:
+        df = df.coalesce(max(1, -(-rows // FILE_ROWS)))
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     try:
         df.write.option("compression", "zstd").parquet(path)

@@ -244,7 +244,9 @@ def _halve(members: DataFrame, hot: int, shape: Shape) -> DataFrame:
     now = durable(members.select(*KEYS, "n", "lo", "hi", "bytes", F.lit(0).alias("from"), F.lit(shape.reach - 1).alias("to")), "suffix-hot")
     owner = None
     done = []
-    while not now.isEmpty():
+    while held := now.count():
+        most = 2 * held  # a round cuts each member into two parts at most
+        most_links = most if owner is None else 2 * owner.count()
         half = F.expr("inline(array(struct(`from`, int((`from` + `to`) div 2) as `to`), struct(int((`from` + `to`) div 2 + 1) as `from`, `to`)))")
         cut = now.select(*parents, "n", F.col("lo").alias("l"), F.col("hi").alias("h"), "bytes", half).filter("l <= `to` and h >= `from`")
         lo, hi = F.greatest("l", "from"), F.least("h", "to")
@@ -253,22 +255,22 @@ def _halve(members: DataFrame, hot: int, shape: Shape) -> DataFrame:
         # What every window of a half has in common: from its least offset to the end of the window at its largest.
         common = F.substring("bytes", F.col("hi") - F.col("from") + 1, F.col("from") - F.col("to") + shape.window)
         part = part.withColumns({"core": F.xxhash64("from", common), "g1": F.xxhash64("lo", "hi", "bytes"), "g2": F.xxhash64("bytes", "hi", "lo", F.lit(1))})
-        part = durable(part, "suffix-parts", done=[now])
+        part = durable(part, "suffix-parts", done=[now], rows=most)
         kinds = part.groupBy(*KEYS).agg(F.sum("n").alias("n"), *[F.first(c).alias(c) for c in ("lo", "hi", "bytes", "from", "to")])
-        kinds = durable(kinds, "suffix-part-kinds")
-        crowd = durable(kinds.groupBy("core").agg(F.count(F.lit(1)).alias("m")), "suffix-part-counts")
-        sized = durable(kinds.join(crowd, "core"), "suffix-part-sizes", done=[kinds, crowd])
+        kinds = durable(kinds, "suffix-part-kinds", rows=most)
+        crowd = durable(kinds.groupBy("core").agg(F.count(F.lit(1)).alias("m")), "suffix-part-counts", rows=most)
+        sized = durable(kinds.join(crowd, "core"), "suffix-part-sizes", done=[kinds, crowd], rows=most)
         # Of one window, or alone with what its windows share: a repetition if it is found more than once.
         whole = sized.filter("n > 1 and (m = 1 or `from` = `to`)").select(*KEYS, F.array(F.struct("lo", "hi")).alias("runs"))
         cool = sized.filter((F.col("m") > 1) & (F.col("m") <= hot) & (F.col("from") < F.col("to")))
         runs = durable(whole.unionByName(_search(cool.withColumn("key", F.col("core")), shape)), "suffix-part-runs")
-        now = durable(sized.filter((F.col("m") > hot) & (F.col("from") < F.col("to"))).drop("m"), "suffix-hot", done=[sized])
+        now = durable(sized.filter((F.col("m") > hot) & (F.col("from") < F.col("to"))).drop("m"), "suffix-hot", done=[sized], rows=most)
         links = part.select(*of, *KEYS)
         if owner is not None:
             links = owner.join(links.withColumnsRenamed(dict(zip(of, (f"via_{k}" for k in KEYS)))), [F.col(f"in_{k}") == F.col(f"via_{k}") for k in KEYS]).select(*of, *KEYS)
-        links = durable(links, "suffix-links", done=[part] if owner is None else [part, owner])
-        done.append(durable(links.join(runs, KEYS).select(*[F.col(o).alias(k) for k, o in zip(KEYS, of)], "runs"), "suffix-hot-runs", done=[runs]))
-        owner = durable(links.join(now.select(*KEYS), KEYS, "left_semi").withColumnsRenamed({k: f"in_{k}" for k in KEYS}), "suffix-owners", done=[links])
+        links = durable(links, "suffix-links", done=[part] if owner is None else [part, owner], rows=most_links)
+        done.append(durable(links.join(runs, KEYS).select(*[F.col(o).alias(k) for k, o in zip(KEYS, of)], "runs"), "suffix-hot-runs", done=[runs], rows=most_links))
+        owner = durable(links.join(now.select(*KEYS), KEYS, "left_semi").withColumnsRenamed({k: f"in_{k}" for k in KEYS}), "suffix-owners", done=[links], rows=most_links)
     out = done[0]
     for d in done[1:]:
         out = out.unionByName(d)
