@@ -297,8 +297,7 @@ _register("stride_candidates", _candidates, f"{_SCORES} {oracles.candidates(sear
 
 def _modes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every stride that is detected or always tried, and every chunk size."""
-    sig = _signals(spark, sf_dir)
-    return _long(search.modes_of(sig, search.settings(sig)), "setting")
+    return _long(search.all_modes(_signals(spark, sf_dir)), "setting")
 
 
 _MODES = oracles.modes(search.STRIDE_ALWAYS, search.CHUNKS)

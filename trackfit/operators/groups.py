@@ -21,11 +21,20 @@ def pattern_stats(encodings: DataFrame) -> DataFrame:
     One pass over the encodings. They are counted by parameters first, which combines before the shuffle; bytes have at
     most 256 CONST and 65,536 LINEAR parameters, so only those counts are gathered to be put in order.
     """
+    return stats_of_kinds(count_kinds(encodings))
+
+
+def count_kinds(encodings: DataFrame) -> DataFrame:
+    """(blob, s, pattern, ints, reals, n, payload, single, track): tracks counted by parameters, those of patterns that form no groups together."""
     grouped = F.col("pattern").isin("CONST", "LINEAR", *SAME_KINDS)
     none = F.expr("cast(array() as array<double>)")
-    kinds = encodings.groupBy(
+    return encodings.groupBy(
         *KEYS, F.when(grouped, F.col("ints")).alias("ints"), F.when(grouped, F.coalesce("reals", none)).alias("reals")
     ).agg(F.count(F.lit(1)).alias("n"), F.sum("cost").alias("payload"), F.max("cost").alias("single"), F.min("track").alias("track"))
+
+
+def stats_of_kinds(kinds: DataFrame) -> DataFrame:
+    """``pattern_stats`` from the counts of ``count_kinds``."""
     value = F.struct("ints", "reals")
     ordered = F.when(F.col("pattern").isin("CONST", "LINEAR"), F.struct("track", F.expr("ints[0]").alias("x"), F.expr("get(ints, 1)").alias("step")))
     stats = kinds.groupBy(*KEYS).agg(
