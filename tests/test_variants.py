@@ -7,7 +7,7 @@ import pytest
 
 from trackfit import catalog
 from trackfit.operators import detect
-from trackfit.plans import cascade, matrix, search, variants
+from trackfit.plans import cascade, matrix, report, search, variants
 
 
 def some_tracks(n):
@@ -95,6 +95,16 @@ def test_values_travel_in_runs(spark, long_signal):
     assert runs["n"] < values / 5
 
 
+def test_recommendation_reads_the_sizes_once(spark):
+    """Before, the sizes of all settings were found a second time for those of the plain signals."""
+    read = spark.sparkContext.accumulator(0)
+    rows = [("a", "plain", 0, 200), ("a", "stride", 7, 150), ("a", "chunk", 4096, 150), ("b", "plain", 0, 5), ("b", "stride", 4, 9)]
+    counted = spark.sparkContext.parallelize(rows, 1).map(lambda r: read.add(1) or r)
+    modes = spark.createDataFrame(counted, "blob string, mode string, setting int, est_size long")
+    assert sorted(tuple(r) for r in report.recommend(modes).collect()) == [("a", "chunk 4096", 25), ("b", "plain", 0)]
+    assert read.value == len(rows)
+
+
 def test_sizes_equal_sql_where_keys_have_gaps(spark, tmp_path):
     duckdb = pytest.importorskip("duckdb")
     rng = random.Random(6)

@@ -22,12 +22,12 @@ def platter_split(encodings: DataFrame, *keys: str) -> DataFrame:
 
 
 def recommend(modes: DataFrame) -> DataFrame:
-    """(blob, advice, saving_percent) from (blob, mode, setting, est_size): a mode is advised if it beats plain."""
-    plain = modes.filter("mode = 'plain'").select("blob", F.col("est_size").alias("plain_size"))
-    best = modes.groupBy("blob").agg(F.min(F.struct("est_size", "mode", "setting")).alias("b"))
+    """(blob, advice, saving_percent) from (blob, mode, setting, est_size): a mode is advised if it beats plain. ``modes`` are read once."""
+    plain = F.min(F.when(F.col("mode") == "plain", F.col("est_size"))).alias("plain_size")
+    best = modes.groupBy("blob").agg(F.min(F.struct("est_size", "mode", "setting")).alias("b"), plain).filter("plain_size is not null")
     saving = F.floor(100 * (F.col("plain_size") - F.col("b.est_size")) / F.greatest("plain_size", F.lit(1))).cast("long")
     advice = F.when(F.col("b.est_size") < F.col("plain_size"), F.concat_ws(" ", "b.mode", F.col("b.setting").cast("string"))).otherwise("plain")
-    return best.join(plain, "blob").select("blob", advice.alias("advice"), saving.alias("saving_percent"))
+    return best.select("blob", advice.alias("advice"), saving.alias("saving_percent"))
 
 
 def palette(patterns: Iterable[str]) -> dict[str, str]:
