@@ -180,6 +180,20 @@ def test_repeated_strings_empty(empty):
     assert suffix_dedup.remove(empty).count() == 0
 
 
+def test_query_shows_the_text_that_stays(spark, tmp_path):
+    rng = random.Random(8)
+    noise = lambda n: "".join(rng.choice("abcdefghij ") for _ in range(n))
+    long, short = noise(400), " ".join(noise(5).replace(" ", "k") for _ in range(60))  # 60 words in 359 bytes: less than a window
+    around = [noise(90) + str(i) for i in range(4)], [str(i) + noise(70) for i in range(4)]
+    texts = [a + x + b for a, x, b in zip(around[0], [long, long, short, short], around[1])] + ["é" * 300, "x" + "é" * 300, "", None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = suffix_dedup.query(spark, str(tmp_path))
+    assert got.columns[:5] == ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
+    rows = {r["doc_id"]: r for r in got.collect()}
+    assert {i: tuple(r)[1:5] for i, r in rows.items()} == dict(enumerate(brute_repeats(texts)))
+    assert [rows[i]["kept_text"] for i in range(8)] == [around[0][0] + around[1][0], around[0][1] + around[1][1], texts[2], texts[3], "", "x", "", ""]
+
+
 def test_merged_transforms_equal_one_sort():
     rng = np.random.default_rng(3)
     columns = rng.integers(97, 100, (40, 60), dtype=np.uint8)
